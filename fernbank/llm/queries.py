@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, simhash, sketch, token_files, warc
+from . import decontaminate, langid, lines, lm, packing, simhash, sketch, token_files, warc
 from .work import materialise, shared_dir
 
 
@@ -83,6 +83,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("page_id", "response.payload_bytes", F.col("response.payload_sha256").alias("payload_digest"), F.col("response.type").alias("record_type"), "refers_to")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learned from four fifths of them."""
+    return lm.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and its component of near-duplicates."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
 }
 

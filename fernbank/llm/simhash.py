@@ -216,3 +216,22 @@ def similar(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words:
         return pairs.where((na > 0) & (nb > 0) & (common / (na + nb - common) >= similarity)).select("a", "b")
 
     return _grouped(prints, _link(nodes, keys, bits, verify))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one for each component of ``found``, the one with the smallest id.
+
+    Rows without an id come last, ties go by text hash, and of rows that repeat id
+    and text one stays. All columns pass through.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = found.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.doc_id", "best.th").alias("k")
+    found = found.alias("f")
+    same = (F.col("f.root") == F.col("k.root")) & F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("f.th") == F.col("k.th"))
+    kept = found.join(best, same).groupBy(F.col("k.doc_id").alias("__doc"), F.col("k.th").alias("__th")).agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(kept, "kept")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = hashed.join(kept, hashed[doc].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__th")), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([doc, "__hash"])
+    return rows.drop("__hash")
