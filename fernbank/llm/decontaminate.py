@@ -65,7 +65,8 @@ def _occurrences(docs: DataFrame, shingles: DataFrame, k: int, limit: int, first
     found = placed.join(right, same, "left" if first else "inner")
     if first:
         found = found.where(F.col("sh").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
-    return found.select("doc", "th", F.size("w").cast("long").alias("n_words"), "pos", "sh")
+    own = F.coalesce(F.col("pos") == 0, F.lit(True)) & F.lit(first)  # the one row that stands for the document itself
+    return found.select("doc", "th", F.size("w").cast("long").alias("n_words"), "pos", "sh", own.alias("own"))
 
 
 def decontaminate(
@@ -139,7 +140,7 @@ def decontaminate(
         F.sort_array(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    rows = found.where(F.coalesce(F.col("pos") == 0, F.lit(True))).select("doc", "th", "n_words").alias("d")
+    rows = found.where("own").select("doc", "th", "n_words").alias("d")
     hits = hits.alias("h")
     joined = rows.join(hits, F.col("d.doc").eqNullSafe(F.col("h.doc")) & F.col("d.th").eqNullSafe(F.col("h.th")), "left")
     covered = F.aggregate(
