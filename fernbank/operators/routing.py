@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: The 64-bit FNV-1a offset and prime.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 
@@ -45,6 +47,7 @@ def _fnv_longs(values: np.ndarray) -> np.ndarray:
 
 def hash_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
     """``df`` with ``shard``: FNV-1a of the key modulo the number of shards. Arrow batches, no shuffle."""
+    ship(df.sparkSession)
     long_key = dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
 
     @F.pandas_udf("int")

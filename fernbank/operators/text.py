@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.stemmer import stem
 from ..plans.filters import quoted
 
@@ -62,6 +63,7 @@ def stems(vocabulary: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(stem=batch["token"].map(stem))
 
+    ship(vocabulary.sparkSession)
     return vocabulary.mapInPandas(run, "token string, stem string")
 
 
