@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import materialise
+from .work import materialise, remove, shared_dir
 
 ROUNDS = 60
 
@@ -37,12 +37,15 @@ def components(links: DataFrame) -> DataFrame:
     Links without direction; loops and repeats are ignored. Roots themselves and
     nodes without links are not listed.
     """
-    edges = materialise(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    spark = links.sparkSession
+    path, state = shared_dir(spark, "edges"), None
+    edges = materialise(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", path)
     for _ in range(ROUNDS):
         if edges.isEmpty():
             break
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        before, path = path, shared_dir(spark, "edges")
+        edges = materialise(_small_star(_large_star(edges)), "edges", path)
+        remove(spark, before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break

@@ -25,9 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: The fitting sample: expected rows for each language, and the longest text taken.
+from ..functions.shipping import ship
+
+#: The fitting sample: expected rows for each language, and the longest text taken, in characters.
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 20_000
+#: Rows of the sample in all; languages share them evenly if they are many.
+SAMPLE_TOTAL = 20_000
 #: Buckets of hashed n-grams.
 FEATURES = 1 << 16
 #: Margins of best and second language below which a prediction is ambiguous, as a difference of probability.
@@ -131,14 +135,15 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def sample(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled rows: about ``rows`` for each language, chosen by a hash of ``key``.
 
-    Languages are at most 1,000 (the most frequent); the sample is cut to twice the
-    expected rows by the same hash.
+    Languages are at most 1,000 (the most frequent) and rows ``SAMPLE_TOTAL`` in all;
+    the sample is cut to twice the expected rows by the same hash.
     """
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
     totals = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
     if not totals:
         return [], []
+    rows = max(1, min(rows, SAMPLE_TOTAL // len(totals)))
     limit = F.lit(0)
     for r in totals:
         limit = F.when(F.col("lang") == r.lang, int(min(1.0, rows / r.n) * (1 << 30))).otherwise(limit)
@@ -157,6 +162,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0. Predictions look
     at nothing but the text. All other columns pass through.
     """
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     own = docs.select(*kept)
     schema = StructType(list(own.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .sketch import mix, range_hashes, word_bounds
 from .work import materialise, shared_dir
 
@@ -337,6 +338,7 @@ def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str =
     table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     deleted = ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0)
     rows = source.select("doc_id", "held_out", (~F.col("held_out")).alias("train"), deleted.alias("deleted"), "text")

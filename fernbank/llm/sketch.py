@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALED = 8
@@ -128,6 +130,7 @@ def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", wo
             prints = [to_string(sketch(shingle_hashes(t or "", words), scaled)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
@@ -160,6 +163,7 @@ def edited_fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "te
     rows follow one another. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .bpe import tokenizer
 
 #: Bytes of ids after which a token file is closed.
@@ -66,6 +67,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, *, end_id: int =
     sidecar. Repeated rows are documents of their own. An empty table writes no
     file. ``end_id`` must be one that no text gives, as 50256 here.
     """
+    ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = source.mapInArrow(_shards(path, end_id, file_bytes), "kind string, shard string, content binary")
     separator = tokenizer(path).one(end_id).decode("latin-1")
@@ -100,6 +102,7 @@ def document_lengths(spark: SparkSession, target: str, *, end_id: int = 50256, w
     Ids after a file's last separator are a document only with a separator, so
     they are not counted. Files without any give no rows.
     """
+    ship(spark)
     blocks = _files(spark, target, "tokens").mapInArrow(_scan(end_id, width, block), "shard string, block long, last long, ends array<long>")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = blocks.select(

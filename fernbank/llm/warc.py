@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: Equal payloads of fewer bytes than this are stored again, not revisited.
 REVISIT_BYTES = 100
 #: Records in one archive file.
@@ -163,6 +165,7 @@ def _parsed(with_payload: bool):
 
 def read_records(spark: SparkSession, target: str, *, with_payload: bool = False) -> DataFrame:
     """Every record of the archives under ``target``. Payload lengths and hashes are of the stored payload itself."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select("content")
     return files.mapInArrow(_parsed(with_payload), _HEADS)
 

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -21,24 +22,36 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="fernbank-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = path or shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a working table that no later plan reads."""
+    if path in _MADE:
+        _MADE.remove(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete every working table of this driver; how many. Call it when the results are written: lazy frames read them."""
+    n = len(_MADE)
+    while _MADE:
+        remove(spark, _MADE.pop())
+    return n
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a written table: the check in front of every broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
