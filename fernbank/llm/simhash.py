@@ -20,9 +20,10 @@ outside the least member's component are paired with members of other components
 Since every link inside a component is implied, this loses none that matters.
 
 ``similar`` does the same for a similarity threshold, where close texts may differ
-in many bits: fingerprints of four lanes (256 bits), join keys of 16 coordinates
-drawn at random from a lane, and verification by the similarity that the four
-lanes' distance implies for the shingle sets.
+in many bits: fingerprints of eight lanes (512 bits), and join keys of 16 coordinates
+drawn at random from a lane. The distance over all lanes estimates a survivor's
+similarity; only where the estimate leaves it open are the two shingle sets compared,
+which reads the texts of those documents once more.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .graph import components
 from .sketch import mix, shingle_hashes, word_bounds
-from .work import materialise
+from .work import bytes_of, materialise
 
 SEED = 42
 WORDS = 3
@@ -46,8 +48,12 @@ BITS = 3
 #: Reference fingerprints of the distance table.
 PIVOTS = [int(x) for x in mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)]
 #: For ``similar``: lanes of 64 bits, join keys for each lane and coordinates for each key.
-LANES, KEYS, COORDINATES = 4, 10, 16
+LANES, KEYS, COORDINATES = 8, 8, 16
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Standard errors below and above the threshold between which an estimate is checked.
+BELOW, ABOVE = 4.0, 5.0
+#: A list of documents to compare of more bytes than this is joined by shuffle instead of broadcast.
+BROADCAST_BYTES = 16 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -103,6 +109,7 @@ def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", wo
 
     Null and wordless texts have fingerprint zero.
     """
+    ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     return source.mapInArrow(_fingerprints(lanes, words), "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
@@ -188,24 +195,45 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     return _grouped(prints, roots)
 
 
-def similar(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, th, n, f0.., root, component_id`` for every row, linking texts whose shingle sets are similar.
+def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, broadcast_bytes: int) -> DataFrame:
+    """``f0, hashes``: the shingle sets of the documents ``wanted(f0, doc_id, th)``."""
 
-    The distance d of two 256-bit fingerprints gives the cosine of the shingle sets,
-    cos(pi d / 256), and with the sets' sizes their Jaccard similarity, which must
-    reach ``similarity`` (standard error about 0.03 there). Texts with equal first
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x or "", words)).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["f0", "hashes"])
+
+    wanted = F.broadcast(wanted) if bytes_of(wanted) <= broadcast_bytes else wanted
+    wanted = wanted.select("f0", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
+    return found.select("f0", "text").mapInArrow(run, "f0 long, hashes array<long>").dropDuplicates(["f0"])
+
+
+def similar(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``doc_id, th, n, f0.., root, component_id`` for every row, linking texts whose shingle sets have this Jaccard similarity.
+
+    The distance d of two 512-bit fingerprints gives the cosine of the shingle sets,
+    cos(pi d / 512), and with the sets' sizes an estimate of their similarity (standard
+    error about 0.02 at 0.8). Pairs ``ABOVE`` errors over the threshold are links, those
+    ``BELOW`` under it are not, and between them the sets decide. Texts with equal first
     lanes count as copies. A pair at similarity 0.8 is met by some join key with
     probability 0.95, one at 0.85 with 0.99, one at 0.9 with 0.9995. Cases as in
     ``near_duplicates``.
     """
     lanes = [F.col(f"f{k}") for k in range(LANES)]
     prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES), "fingerprints")
-    nodes = materialise(prints.groupBy("f0").agg(F.min(F.struct("n", *lanes[1:])).alias("s")).select("f0", "s.*"), "nodes")
+    first = F.min(F.struct("n", *lanes[1:], F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    nodes = materialise(prints.groupBy("f0").agg(first.alias("s")).select("f0", "s.*").drop("none"), "nodes")
     masks = coordinate_masks()
     keys = [F.xxhash64(F.lit(k), F.lit(i), lane.bitwiseAND(F.lit(m))) for k, lane in enumerate(lanes) for i, m in enumerate(masks)]
     # one lane of a pair at the threshold differs in 64 p bits on average; four standard deviations are let through
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    angle = float(np.arccos(2 * similarity / (1 + similarity)))
+    p = angle / np.pi
     bits = min(64, round(64 * p + 4 * (64 * p * (1 - p)) ** 0.5))
+    # the estimate's error: that of p, times the slope of the similarity in p
+    error = float((p * (1 - p) / (64 * LANES)) ** 0.5 * np.pi * np.sin(angle) * (1 + similarity) ** 2 / 2)
+    low, high = similarity - BELOW * error, min(1.0, similarity + ABOVE * error)
 
     def verify(candidates: DataFrame) -> DataFrame:
         left, right = (nodes.select(F.col("f0").alias(s), F.col("n").alias(f"n{s}"), *[F.col(f"f{k}").alias(f"{s}{k}") for k in range(1, LANES)]) for s in "ab")
@@ -213,9 +241,22 @@ def similar(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words:
         d = sum((_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(1, LANES)), _distance(F.col("a"), F.col("b")))
         na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
         common = F.least(F.cos(d * (np.pi / (64 * LANES))) * F.sqrt(na * nb), na, nb)
-        return pairs.where((na > 0) & (nb > 0) & (common / (na + nb - common) >= similarity)).select("a", "b")
-
-    return _grouped(prints, _link(nodes, keys, bits, verify))
+        # sets so small that few shingles decide have no normal error: they are always compared
+        small = F.least(na, nb) < 50
+        estimate = F.when(small, F.least(na, nb) / F.greatest(na, nb)).otherwise(common / (na + nb - common))
+        pairs = pairs.where((na > 0) & (nb > 0)).select("a", "b", estimate.alias("j"), small.alias("small"))
+        pairs = materialise(pairs.where(F.when(F.col("small"), F.col("j") >= similarity).otherwise(F.col("j") >= low)), "pairs")
+        sure = (F.col("j") >= high) & ~F.col("small")
+        links, unsure = pairs.where(sure).select("a", "b"), pairs.where(~sure).select("a", "b")
+        if unsure.isEmpty():
+            return links
+        wanted = unsure.select(F.explode(F.array("a", "b")).alias("f0")).distinct().join(nodes.select("f0", "doc_id", "th"), "f0")
+        sets = materialise(_sets(docs, materialise(wanted, "wanted"), doc, text, words, broadcast_bytes), "sets")
+        both = unsure.join(sets.select(F.col("f0").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("f0").alias("b"), F.col("hashes").alias("hb")), "b")
+        shared = F.size(F.array_intersect("ha", "hb"))
+        return links.unionByName(both.where(shared >= (F.size("ha") + F.size("hb") - shared) * similarity).select("a", "b"))
+
+    return _grouped(prints, _link(nodes.drop("doc_id", "th"), keys, bits, verify))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

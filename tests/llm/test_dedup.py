@@ -226,24 +226,31 @@ def group(nodes, roots):
     return out
 
 
-def test_similar(spark):
+@pytest.mark.parametrize("limit", [0, 16 << 20])
+def test_similar(spark, limit):
     rng = random.Random(12)
-    docs, true = [], []
-    for k in range(40):
-        w = [str(rng.randrange(10**6)) for _ in range(400)]
+    docs = []
+    for _ in range(40):
+        w = [str(rng.randrange(10**6)) for _ in range(rng.choice([40, 400]))]
         docs.append((len(docs), " ".join(w)))
-        true.append(k)
         for _ in range(3):
             c = list(w)
-            for at in rng.sample(range(400), 4):  # 20 of 396 shingles change: similarity 0.9
+            for at in rng.sample(range(len(w)), len(w) // 100 + rng.randrange(len(w) // 30)):
                 c[at] = "new" + str(rng.random())
             docs.append((len(docs), " ".join(c)))
-            true.append(k)
-    docs += [(1000, None), (1001, ""), (1002, "one"), (1003, "other")]
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    wrong = sum(got[i] != true[i] * 4 for i in range(160))
-    assert wrong <= 2
-    assert got[1000] == got[1001] == 1000 and got[1002] == 1002 and got[1003] == 1003
+    docs += [(1000, None), (1001, ""), (1002, "one"), (1003, "other"), (None, docs[0][1]), docs[4]]
+    got = [(r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=limit).collect()]
+    sets = [set(sketch.shingle_hashes(t or "").tolist()) for _, t in docs]
+    alike = lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b))
+    roots = brute_components(sets, alike)
+    least = {}
+    for (d, _), r in zip(docs, roots):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    want = {d: least[r] for (d, _), r in zip(docs, roots)}
+    wrong = [d for d, c in got if want[d] != c]
+    assert len(got) == len(docs) and len(wrong) <= 2
+    assert got.count((1001, 1000)) == 1 and (1002, 1002) in got and (1003, 1003) in got
 
 
 def test_components(spark):
