@@ -20,13 +20,13 @@ the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .bpe import tokenizer
 
 CAPACITY = 2048
@@ -205,14 +205,19 @@ def _pieces(path: str, end_id: int, capacity: int, groups: int):
     return run
 
 
-def _pack(width: int, capacity: int, max_padding: float, best: bool):
-    fit = best_fit if best else first_fit
+def _arranged(table: pa.Table, width: int, capacity: int, max_padding: float, best: bool) -> tuple[list, list[list[tuple[int, int, int]]]]:
+    """The columns of a group's pieces and its bins of (piece, from, to)."""
+    columns = [table.column(c).to_pylist() for c in ("grp", "doc_id", "start", "doc_tokens", "ids")]
+    _, doc_id, start, _, ids = columns
+    order = sorted(range(len(ids)), key=lambda i: (-len(ids[i]), doc_id[i] is None, doc_id[i] or 0, start[i], ids[i]))
+    lengths = [len(ids[i]) // width for i in order]
+    bins = (best_fit if best else first_fit)(lengths, capacity)
+    return columns, fill_up([[(order[k], 0, lengths[k]) for k in b] for b in bins], capacity, max_padding)
+
 
+def _pack(width: int, capacity: int, max_padding: float, best: bool):
     def run(table: pa.Table) -> pa.Table:
-        grp, doc_id, start, doc_tokens, ids = (table.column(c).to_pylist() for c in ("grp", "doc_id", "start", "doc_tokens", "ids"))
-        order = sorted(range(len(ids)), key=lambda i: (-len(ids[i]), doc_id[i] is None, doc_id[i] or 0, start[i], ids[i]))
-        lengths = [len(ids[i]) // width for i in order]
-        bins = fill_up([[(order[k], 0, lengths[k]) for k in b] for b in fit(lengths, capacity)], capacity, max_padding)
+        (grp, doc_id, start, doc_tokens, ids), bins = _arranged(table, width, capacity, max_padding, best)
         cols: tuple[list, ...] = tuple([] for _ in range(7))
         for b, parts in enumerate(bins):
             at = 0
@@ -226,14 +231,20 @@ def _pack(width: int, capacity: int, max_padding: float, best: bool):
     return run
 
 
-def _packed(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capacity: int, group_bytes: int, max_padding: float, best: bool) -> DataFrame:
+def _groups(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capacity: int, group_bytes: int) -> tuple[GroupedData, int]:
+    """Pieces of all documents by randomised group, and the bytes of an id in them."""
+    ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     seeded = source.withColumn("seed", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     pieces = seeded.mapInArrow(_pieces(path, end_id, capacity, groups), _PIECES)
-    width = tokenizer(path)._code == "H" and 2 or 4
-    return pieces.groupBy("grp").applyInArrow(_pack(width, capacity, max_padding, best), _PACKED)
+    return pieces.groupBy("grp"), len(tokenizer(path).one(0))
+
+
+def _packed(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capacity: int, group_bytes: int, max_padding: float, best: bool) -> DataFrame:
+    grouped, width = _groups(docs, path, end_id, doc, text, capacity, group_bytes)
+    return grouped.applyInArrow(_pack(width, capacity, max_padding, best), _PACKED)
 
 
 def pack_first_fit(
@@ -262,51 +273,39 @@ def pack_best_fit(
 _MATRIX = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
 
-def matrices(pieces: DataFrame, *, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
-    """One matrix row for each sequence of packed ``pieces``.
-
-    ``ids`` is the row itself: ``capacity`` little-endian unsigned 32-bit ids,
-    padded with ``pad_id``. ``cu_seqlens`` are the cumulative segment lengths from
-    0 to ``n_tokens``, and ``position_ids`` (same layout) begin again from 0 at
-    every segment and in the padding. ``doc_ids`` and ``starts`` say which part of
-    which document a segment is. Takes pieces in the packer's order, as it returns
-    them or as they are read back, and raises on a sequence that is not whole.
-    """
-
+def _matrix_rows(width: int, capacity: int, max_padding: float, best: bool, pad_id: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
-        seqs, offsets, docs, starts, lengths, ids = (table.column(c).to_pylist() for c in ("sequence_id", "offset", "doc_id", "start", "length", "ids"))
+        (grp, doc_id, start, _, ids), bins = _arranged(table, width, capacity, max_padding, best)
+        count = np.arange(capacity, dtype="<u2" if capacity <= 1 << 16 else "<u4")
         cols: tuple[list, ...] = tuple([] for _ in range(7))
-        a = 0
-        while a < len(seqs):
-            b = a
-            while b < len(seqs) and seqs[b] == seqs[a]:
-                b += 1
-            n = sum(lengths[a:b])
-            if offsets[a:b] != [0, *accumulate(lengths[a : b - 1])]:
-                raise ValueError(f"sequence {seqs[a]} is not whole: matrices() takes pieces in the packer's order")
-            row = np.full(capacity, pad_id, "<u4")
-            row[:n] = np.frombuffer(b"".join(ids[a:b]), "<u4")
-            positions = np.concatenate([np.arange(k, dtype="<u4") for k in (*lengths[a:b], capacity - n)])
-            for c, v in zip(cols, (seqs[a], n, docs[a:b], starts[a:b], [0, *accumulate(lengths[a:b])], row.tobytes(), positions.tobytes())):
+        for b, parts in enumerate(bins):
+            row, positions, ends = np.full(capacity, pad_id, "<u4"), count.copy(), [0]
+            for i, lo, hi in parts:
+                at, to = ends[-1], ends[-1] + hi - lo
+                row[at:to] = np.frombuffer(ids[i], f"<u{width}")[lo:hi]
+                positions[at:to] = count[: hi - lo]
+                ends.append(to)
+            positions[ends[-1] :] = count[: capacity - ends[-1]]
+            values = (grp[0] * BINS + b, ends[-1], [doc_id[i] for i, _, _ in parts], [start[i] + lo for i, lo, _ in parts], ends, row.tobytes(), positions.tobytes())
+            for c, v in zip(cols, values):
                 c.append(v)
-            a = b
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids"])
 
-    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            last = table.column("sequence_id")[-1].as_py()
-            column = table.column("sequence_id").to_numpy()
-            cut = int(np.flatnonzero(column != last)[-1]) + 1 if (column != last).any() else 0
-            yield from run(table.slice(0, cut)).to_batches()
-            held = table.slice(cut).to_batches()
-        if held:
-            yield from run(pa.Table.from_batches(held)).to_batches()
-
-    return pieces.select("sequence_id", "offset", "doc_id", "start", "length", "ids").mapInArrow(whole_groups, _MATRIX)
+    return run
+
+
+def pack_matrices(
+    docs: DataFrame, path: str, *, end_id: int = 1, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, max_padding: float = MAX_PADDING,
+    best: bool = True, pad_id: int = 0,
+) -> DataFrame:
+    """The packed id matrix: a row for each sequence, best-fit unless ``best`` is false. Cases as in ``pack_first_fit``.
+
+    ``ids`` is the row itself: ``capacity`` little-endian unsigned 32-bit ids, padded
+    with ``pad_id``. ``cu_seqlens`` are the cumulative segment lengths from 0 to
+    ``n_tokens``. ``position_ids`` (unsigned 16-bit, 32-bit for capacities over 65,536)
+    begin again from 0 at every segment and in the padding. ``doc_ids`` and ``starts``
+    say which part of which document a segment is.
+    """
+    grouped, width = _groups(docs, path, end_id, doc, text, capacity, group_bytes)
+    return grouped.applyInArrow(_matrix_rows(width, capacity, max_padding, best, pad_id), _MATRIX)

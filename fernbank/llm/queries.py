@@ -24,8 +24,7 @@ def vocabulary() -> str:
 
 def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rows of a packed id matrix, with cumulative lengths and position resets."""
-    pieces = packing.pack_best_fit(_table(spark, sf_dir, "documents"), vocabulary())
-    return packing.matrices(pieces)
+    return packing.pack_matrices(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

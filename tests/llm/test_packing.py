@@ -115,11 +115,11 @@ def test_matrices(spark):
     by_seq = {}
     for r in pieces.collect():
         by_seq.setdefault(r.sequence_id, []).append(r)
-    rows = packing.matrices(pieces, capacity=32).collect()
+    rows = packing.pack_matrices(docs, PATH, capacity=32).collect()
     assert len(rows) == len(by_seq)
     for r in rows:
         want = sorted(by_seq[r.sequence_id], key=lambda p: p.offset)
-        matrix, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
+        matrix, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u2")
         assert len(matrix) == len(positions) == 32
         assert r.cu_seqlens == [0, *np.cumsum([p.length for p in want]).tolist()]
         assert matrix[: r.n_tokens].tobytes() == b"".join(bytes(p.ids) for p in want)
