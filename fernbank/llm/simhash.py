@@ -19,11 +19,11 @@ least member only (a star), the stars' components are found, and then only membe
 outside the least member's component are paired with members of other components.
 Since every link inside a component is implied, this loses none that matters.
 
-``similar`` does the same for a similarity threshold, where close texts may differ
-in many bits: fingerprints of eight lanes (512 bits), and join keys of 16 coordinates
-drawn at random from a lane. The distance over all lanes estimates a survivor's
-similarity; only where the estimate leaves it open are the two shingle sets compared,
-which reads the texts of those documents once more.
+``similar`` is for a similarity threshold, where close texts may differ in many bits.
+Fingerprints have eight lanes (512 bits) and join keys are 16 coordinates drawn at
+random from a lane. Buckets give spanning forests of loosely close fingerprints, not
+pairs; the forests' components hold every pair that can be similar, and within them
+the shingle sets themselves decide, again as spanning forests.
 """
 
 from __future__ import annotations
@@ -50,8 +50,10 @@ PIVOTS = [int(x) for x in mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3
 #: For ``similar``: lanes of 64 bits, join keys for each lane and coordinates for each key.
 LANES, KEYS, COORDINATES = 8, 8, 16
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Standard errors below and above the threshold between which an estimate is checked.
-BELOW, ABOVE = 4.0, 5.0
+#: Standard errors by which the distance of two lanes may exceed what the threshold implies.
+LOOSE = 3.5
+#: Texts of a loose group whose sets meet in one task; larger groups meet block by block.
+BLOCK = 4096
 #: A list of documents to compare of more bytes than this is joined by shuffle instead of broadcast.
 BROADCAST_BYTES = 16 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -195,31 +197,128 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     return _grouped(prints, roots)
 
 
+def forest(f0: np.ndarray, f1: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of fingerprints at most ``limit`` bits apart over both lanes."""
+    edges: list[tuple[int, int]] = []
+    todo, stack = np.arange(len(f0)), []
+    while len(todo):
+        if not stack:
+            stack, todo = [int(todo[0])], todo[1:]
+        x = stack.pop()
+        near = np.bitwise_count(f0[todo] ^ f0[x]) + np.bitwise_count(f1[todo] ^ f1[x]) <= limit
+        found = todo[near].tolist()
+        edges += [(x, y) for y in found]
+        stack += found
+        todo = todo[~near]
+    return edges
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of sets with this Jaccard similarity; empty sets have none."""
+    sizes = np.array([len(s) for s in sets])
+    values, owners = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    edges: list[tuple[int, int]] = []
+    todo, stack = np.arange(len(sets)), []
+    while len(todo):
+        if not stack:
+            stack, todo = [int(todo[0])], todo[1:]
+        x = stack.pop()
+        spans = zip(np.searchsorted(values, sets[x]).tolist(), np.searchsorted(values, sets[x], "right").tolist())
+        shared = np.bincount(np.concatenate([*(owners[a:b] for a, b in spans), np.zeros(0, np.int64)]), minlength=len(sets))[todo]
+        near = (shared > 0) & (shared >= similarity * (sizes[todo] + sizes[x] - shared))
+        found = todo[near].tolist()
+        edges += [(x, y) for y in found]
+        stack += found
+        todo = todo[~near]
+    return edges
+
+
+#: Buckets of up to so many members are compared in step with each other.
+_FEW = 8
+
+
+def _bucket_edges(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within the runs of equal keys."""
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    few = np.repeat(sizes <= _FEW, sizes)
+    left, right = [], []
+    for s in range(1, min(_FEW, len(key))):
+        near = few[s:] & (key[s:] == key[:-s])
+        at = np.flatnonzero(near)
+        at = at[np.bitwise_count(f0[at] ^ f0[at + s]) + np.bitwise_count(f1[at] ^ f1[at + s]) <= limit]
+        left.append(f0[at])
+        right.append(f0[at + s])
+    for k in np.flatnonzero(sizes > _FEW):
+        a, b = starts[k], starts[k] + sizes[k]
+        edges = np.array(forest(f0[a:b], f1[a:b], limit), np.int64).reshape(-1, 2)
+        left.append(f0[a:b][edges[:, 0]])
+        right.append(f0[a:b][edges[:, 1]])
+    return tuple(np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right))
+
+
+def _loose(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            key, f0, f1 = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "f0", "f1"))
+            a, b = _bucket_edges(key, f0, f1, limit)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the rows of a key that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            other = np.flatnonzero(key != key[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or held[-1].column(0)[-1].as_py() != key[0]):
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    return run
+
+
+def _exact(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        f0 = table.column("f0").to_numpy()
+        sets = [np.frombuffer(x, np.int64) for x in table.column("hashes").to_pylist()]
+        edges = np.array(set_forest(sets, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": f0[edges[:, 0]], "b": f0[edges[:, 1]]})
+
+    return run
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, broadcast_bytes: int) -> DataFrame:
-    """``f0, hashes``: the shingle sets of the documents ``wanted(f0, doc_id, th)``."""
+    """``root, f0, blocks, hashes``: the shingle sets of the documents ``wanted(root, f0, blocks, doc_id, th)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x or "", words)).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["f0", "hashes"])
+            sets = [np.unique(shingle_hashes(x or "", words)).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "f0", "blocks", "hashes"])
 
     wanted = F.broadcast(wanted) if bytes_of(wanted) <= broadcast_bytes else wanted
-    wanted = wanted.select("f0", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
+    wanted = wanted.select("root", "f0", "blocks", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
-    return found.select("f0", "text").mapInArrow(run, "f0 long, hashes array<long>").dropDuplicates(["f0"])
+    return found.select("root", "f0", "blocks", "text").mapInArrow(run, "root long, f0 long, blocks long, hashes binary")
 
 
-def similar(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def similar(
+    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """``doc_id, th, n, f0.., root, component_id`` for every row, linking texts whose shingle sets have this Jaccard similarity.
 
-    The distance d of two 512-bit fingerprints gives the cosine of the shingle sets,
-    cos(pi d / 512), and with the sets' sizes an estimate of their similarity (standard
-    error about 0.02 at 0.8). Pairs ``ABOVE`` errors over the threshold are links, those
-    ``BELOW`` under it are not, and between them the sets decide. Texts with equal first
-    lanes count as copies. A pair at similarity 0.8 is met by some join key with
-    probability 0.95, one at 0.85 with 0.99, one at 0.9 with 0.9995. Cases as in
-    ``near_duplicates``.
+    Candidates come from random coordinates of 512-bit fingerprints: a pair at 0.8 is
+    met by some key with probability 0.99, one at 0.85 with 0.999. What they link is
+    decided by the sets and so exact. Texts with equal first lanes count as copies.
+    Cases as in ``near_duplicates``.
     """
     lanes = [F.col(f"f{k}") for k in range(LANES)]
     prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES), "fingerprints")
@@ -227,36 +326,23 @@ def similar(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words:
     nodes = materialise(prints.groupBy("f0").agg(first.alias("s")).select("f0", "s.*").drop("none"), "nodes")
     masks = coordinate_masks()
     keys = [F.xxhash64(F.lit(k), F.lit(i), lane.bitwiseAND(F.lit(m))) for k, lane in enumerate(lanes) for i, m in enumerate(masks)]
-    # one lane of a pair at the threshold differs in 64 p bits on average; four standard deviations are let through
-    angle = float(np.arccos(2 * similarity / (1 + similarity)))
-    p = angle / np.pi
-    bits = min(64, round(64 * p + 4 * (64 * p * (1 - p)) ** 0.5))
-    # the estimate's error: that of p, times the slope of the similarity in p
-    error = float((p * (1 - p) / (64 * LANES)) ** 0.5 * np.pi * np.sin(angle) * (1 + similarity) ** 2 / 2)
-    low, high = similarity - BELOW * error, min(1.0, similarity + ABOVE * error)
-
-    def verify(candidates: DataFrame) -> DataFrame:
-        left, right = (nodes.select(F.col("f0").alias(s), F.col("n").alias(f"n{s}"), *[F.col(f"f{k}").alias(f"{s}{k}") for k in range(1, LANES)]) for s in "ab")
-        pairs = candidates.join(left, "a").join(right, "b")
-        d = sum((_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(1, LANES)), _distance(F.col("a"), F.col("b")))
-        na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
-        common = F.least(F.cos(d * (np.pi / (64 * LANES))) * F.sqrt(na * nb), na, nb)
-        # sets so small that few shingles decide have no normal error: they are always compared
-        small = F.least(na, nb) < 50
-        estimate = F.when(small, F.least(na, nb) / F.greatest(na, nb)).otherwise(common / (na + nb - common))
-        pairs = pairs.where((na > 0) & (nb > 0)).select("a", "b", estimate.alias("j"), small.alias("small"))
-        pairs = materialise(pairs.where(F.when(F.col("small"), F.col("j") >= similarity).otherwise(F.col("j") >= low)), "pairs")
-        sure = (F.col("j") >= high) & ~F.col("small")
-        links, unsure = pairs.where(sure).select("a", "b"), pairs.where(~sure).select("a", "b")
-        if unsure.isEmpty():
-            return links
-        wanted = unsure.select(F.explode(F.array("a", "b")).alias("f0")).distinct().join(nodes.select("f0", "doc_id", "th"), "f0")
-        sets = materialise(_sets(docs, materialise(wanted, "wanted"), doc, text, words, broadcast_bytes), "sets")
-        both = unsure.join(sets.select(F.col("f0").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("f0").alias("b"), F.col("hashes").alias("hb")), "b")
-        shared = F.size(F.array_intersect("ha", "hb"))
-        return links.unionByName(both.where(shared >= (F.size("ha") + F.size("hb") - shared) * similarity).select("a", "b"))
-
-    return _grouped(prints, _link(nodes.drop("doc_id", "th"), keys, bits, verify))
+    # two lanes of a pair at the threshold differ in 128 p bits on average
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    limit = round(128 * p + LOOSE * (128 * p * (1 - p)) ** 0.5)
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "f0", "f1").repartition("key").sortWithinPartitions("key")
+    loose = components(keyed.mapInArrow(_loose(limit), "a long, b long").distinct())
+    # every node of a loose group, its least one included, with the blocks that the group is cut into
+    roots = loose.select("root").distinct()
+    members = loose.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    wanted = members.join(blocks, "root").join(nodes.select(F.col("f0").alias("node"), "doc_id", "th"), "node")
+    wanted = materialise(wanted.select("root", F.col("node").alias("f0"), "blocks", "doc_id", "th"), "wanted")
+    sets = _sets(docs, wanted, doc, text, words, broadcast_bytes)
+    own = F.pmod(F.xxhash64("f0"), F.col("blocks"))
+    met = sets.select("root", "f0", "hashes", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    pairs = met.groupBy("root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    links = pairs.applyInArrow(_exact(similarity), "a long, b long").distinct()
+    return _grouped(prints, components(links))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

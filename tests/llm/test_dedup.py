@@ -226,8 +226,28 @@ def group(nodes, roots):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 16 << 20])
-def test_similar(spark, limit):
+def test_forests():
+    rng = random.Random(7)
+    for _ in range(30):
+        prints = [(rng.getrandbits(3) << 5 | rng.getrandbits(2), rng.getrandbits(6)) for _ in range(rng.randrange(1, 40))]
+        f0, f1 = (np.array(x, np.uint64) for x in zip(*prints))
+        edges = simhash.forest(f0, f1, 2)
+        close = lambda a, b: (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 2
+        assert all(close(prints[a], prints[b]) for a, b in edges)
+        joined = {tuple(sorted(e)) for e in edges}
+        by_edges = brute_components(list(range(len(prints))), lambda a, b: tuple(sorted((a, b))) in joined)
+        assert by_edges == brute_components(prints, close) and len(edges) == len(prints) - len(set(by_edges))
+        sets = [np.unique(np.array([rng.randrange(12) for _ in range(rng.randrange(9))], np.int64)) for _ in range(25)]
+        alike = lambda a, b: len(a) > 0 and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+        joined = {tuple(sorted(e)) for e in simhash.set_forest(sets, 0.8)}
+        assert brute_components(list(range(25)), lambda a, b: tuple(sorted((a, b))) in joined) == brute_components(sets, alike)
+        key = np.sort(np.array([rng.randrange(5) for _ in prints], np.uint64))
+        a, b = simhash._bucket_edges(key, f0, f1, 2)
+        assert all(x in f0 and y in f0 for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize(("limit", "block"), [(0, 4096), (16 << 20, 2)])
+def test_similar(spark, limit, block):
     rng = random.Random(12)
     docs = []
     for _ in range(40):
@@ -239,7 +259,7 @@ def test_similar(spark, limit):
                 c[at] = "new" + str(rng.random())
             docs.append((len(docs), " ".join(c)))
     docs += [(1000, None), (1001, ""), (1002, "one"), (1003, "other"), (None, docs[0][1]), docs[4]]
-    got = [(r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=limit).collect()]
+    got = [(r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=limit, block=block).collect()]
     sets = [set(sketch.shingle_hashes(t or "").tolist()) for _, t in docs]
     alike = lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b))
     roots = brute_components(sets, alike)
