@@ -29,7 +29,6 @@ How it scales. Four passes, each linear in the tokens:
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .sketch import mix, range_hashes, word_bounds
-from .work import materialise, shared_dir
+from .work import bucketed, materialise
 
 #: Words that are classes of their own, at most (class numbers have two bytes).
 HEAD = 65_535
@@ -345,10 +344,7 @@ def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str =
     words = vocabulary(rows.where("train").select("text", "deleted"), min(head, HEAD))
     end = int(words.classes(np.array([END], np.uint64))[0])
     partitions = max(32, -(-words.tokens // (block_tokens // 2)))
-    name = f"lm_blocks_{uuid.uuid4().hex}"
-    blocks = rows.mapInArrow(_encode(words, block_tokens), _BLOCKS)
-    blocks.write.bucketBy(min(partitions, 100_000), "b").option("path", shared_dir(spark, "lm-blocks")).saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = bucketed(rows.mapInArrow(_encode(words, block_tokens), _BLOCKS), "lm_blocks", min(partitions, 100_000), "b")
     asked = blocks.groupBy("b").applyInArrow(_ask(end, words.tail, partitions), _ASKED)
     answered = materialise(asked.groupBy("p").applyInArrow(_answer(words), _ANSWERED), "lm-answers")
     cells = answered.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("weight").alias("weight")).collect()

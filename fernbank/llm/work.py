@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -35,6 +36,14 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` in the shared folder: grouping by the key then needs no shuffle."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", shared_dir(spark, name)).saveAsTable(table)
+    _TABLES.append(table)
+    return spark.table(table)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a working table that no later plan reads."""
     if path in _MADE:
@@ -46,6 +55,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def clean(spark: SparkSession) -> int:
     """Delete every working table of this driver; how many. Call it when the results are written: lazy frames read them."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     n = len(_MADE)
     while _MADE:
         remove(spark, _MADE.pop())
