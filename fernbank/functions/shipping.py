@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED or not package.is_dir():
         return
     _SHIPPED.add(context.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    target = Path(tempfile.mkdtemp(prefix="ship-")).resolve() / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
