@@ -129,8 +129,17 @@ def vocabulary(rows: DataFrame, head: int = HEAD) -> Vocabulary:
     words = rows.mapInArrow(_counts, "h long, c long, d long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     words = materialise(words, "words")
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.count(F.lit(1))).first()
-    first = (F.col("h") == F.lit(int(np.uint64(END).astype(np.int64)))).desc()
-    top = words.orderBy(first, F.desc("c"), "h").limit(head).collect()
+    # The head ends at a sixteenth of an octave of frequency, found by a histogram: a sort's limit would send each task's head here.
+    level = F.floor(F.log2("c") * 16)
+    steps = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    room, least = head - 1, None
+    for r in steps:
+        room -= r.n
+        if room < 0:
+            break
+        least = r.level
+    is_end = F.col("h") == F.lit(int(np.uint64(END).astype(np.int64)))
+    top = words.where(is_end if least is None else is_end | (level >= least)).collect()
     table = np.array([(r.h, r.c, r.d) for r in top], np.int64).reshape(-1, 3)
     hashes = table[:, 0].copy().view(np.uint64)
     order = np.argsort(hashes)

@@ -6,6 +6,7 @@ local-mode session that names none gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="fernbank-"))
+        base = _LOCAL.setdefault("dir", os.path.realpath(tempfile.mkdtemp(prefix="fernbank-")))
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
     return path
