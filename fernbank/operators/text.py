@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,14 @@ def combined(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.col(quoted(c)) for c in columns])
 
 
+def _indexed_word(word: Column) -> Column:
+    return (F.octet_length(word) >= 2) & ~word.isin(STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, of two bytes at least, without stop words."""
     words = F.transform(F.split(text, _BETWEEN), F.lower)
-    return F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOP_WORDS))
+    return F.filter(words, _indexed_word)
 
 
 def positions(df: DataFrame, columns: Sequence[str], id_field: str = "_id") -> DataFrame:
@@ -82,36 +87,41 @@ def postings(df: DataFrame, columns: Sequence[str], *, id_field: str = "_id", st
     return found.join(table, "token").groupBy(F.col("stem").alias("token"), "id").agg(F.sum("tf").alias("tf"))
 
 
+def _words_of(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> dict[str, list[str]]:
+    """The indexed words of each wanted stem. A stem has few words: they share all but its last letters and end in known suffixes."""
+    starts = "|".join(re.escape(t[: max(1, len(t) - 3)]) for t in wanted)
+    token = F.explode(F.split(F.lower(combined(columns)), _BETWEEN)).alias("token")
+    near = df.select(token).where(F.col("token").rlike(f"^({starts})")).distinct()
+    found: dict[str, list[str]] = {t: [] for t in wanted}
+    for r in stems(near).where(F.col("stem").isin(list(wanted)) & _indexed_word(F.col("token"))).collect():
+        found[r.stem].append(r.token)
+    return found
+
+
 def bm25(df: DataFrame, query: str | Sequence[str], columns: Sequence[str], *, id_field: str = "_id", stemmed: bool = True) -> DataFrame:
     """``id, score`` of rows with any query token. A token that the query repeats counts as often.
 
-    One pass over the texts: each row keeps its length and its counts of the query's
-    tokens alone, so only matching rows reach the document-frequency and score
-    aggregates.
+    One code-generated pass over the texts leaves a row for each document: its length
+    and its counts of the query's tokens. Totals and scores come from that table.
     """
     wanted = Counter(query_tokens(query, stemmed) if isinstance(query, str) else query)
-    docs = indexed(df, columns, id_field).select("id", F.size("tokens").alias("dl"), "tokens")
-    spark = df.sparkSession
+    has_text = F.coalesce(*[F.col(quoted(c)) for c in columns]).isNotNull()
+    rows = df.where(has_text).select(F.col(quoted(id_field)).alias("id"), F.lower(combined(columns)).alias("text"))
     if not wanted:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    exploded = docs.select("id", "dl", F.explode("tokens").alias("token"))
-    if stemmed:
-        # A stem shares all but its last few letters with its words, so few words of the vocabulary are stemmed at all.
-        starts = "|".join(re.escape(t[: max(1, len(t) - 3)]) for t in wanted)
-        near = exploded.where(F.col("token").rlike(f"^({starts})"))
-        table = stems(near.select("token").distinct()).where(F.col("stem").isin(list(wanted)))
-        per = near.join(table, "token").select("id", "dl", F.col("stem").alias("token"))
-    else:
-        per = exploded.where(F.col("token").isin(list(wanted)))
-    counted = per.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    weights = spark.createDataFrame([(t, float(k)) for t, k in wanted.items()], "token string, times double")
-    df_counts = counted.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = df_counts.crossJoin(F.broadcast(totals)).join(F.broadcast(weights), "token")
-    idf = idf.select("token", "avgdl", (F.col("times") * F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
-    tf = F.col("tf").cast("double")
-    score = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.join(F.broadcast(idf), "token").groupBy("id").agg(F.sum(score).alias("score"))
+        return rows.select("id", F.lit(0.0).alias("score")).limit(0)
+    terms = list(wanted)
+    words = _words_of(df, columns, terms) if stemmed else {t: [t] for t in terms}
+    token = F.col("token")
+    counts = [F.count_if(token.isin(words[t]) if words[t] else F.lit(False)).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)]
+    docs = rows.select("id", F.explode(F.split("text", _BETWEEN)).alias("token")).groupBy("id").agg(F.count_if(_indexed_word(token)).alias("dl"), *counts)
+    totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))])
+    score = F.lit(0.0)
+    for k, t in enumerate(terms):
+        tf, found = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.lit(float(wanted[t])) * F.ln((F.col("n") - found + 0.5) / (found + 0.5) + 1)
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    any_ = reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])
+    return docs.where(any_).crossJoin(F.broadcast(totals)).select("id", score.alias("score"))
 
 
 def text_search(
