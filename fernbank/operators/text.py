@@ -89,7 +89,7 @@ def postings(df: DataFrame, columns: Sequence[str], *, id_field: str = "_id", st
 
 def _words_of(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> dict[str, list[str]]:
     """The indexed words of each wanted stem. A stem has few words: they share all but its last letters and end in known suffixes."""
-    starts = "|".join(re.escape(t[: max(1, len(t) - 3)]) for t in wanted)
+    starts = "|".join(re.escape(t[: max(1, len(t) - (2 if len(t) > 4 else 1))]) for t in wanted)
     token = F.explode(F.split(F.lower(combined(columns)), _BETWEEN)).alias("token")
     near = df.select(token).where(F.col("token").rlike(f"^({starts})")).distinct()
     found: dict[str, list[str]] = {t: [] for t in wanted}
