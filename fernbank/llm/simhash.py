@@ -22,8 +22,11 @@ Since every link inside a component is implied, this loses none that matters.
 ``similar`` is for a similarity threshold, where close texts may differ in many bits.
 Fingerprints have eight lanes (512 bits) and join keys are 16 coordinates drawn at
 random from a lane. Buckets give spanning forests of loosely close fingerprints, not
-pairs; the forests' components hold every pair that can be similar, and within them
-the shingle sets themselves decide, again as spanning forests.
+pairs; within the forests' components the shingle sets themselves decide, again as
+spanning forests. Random keys lose pairs, so a prefix-filtered set join finds the
+rest: two sets of this similarity share one of each one's rarest ``floor(0.2 n) + 1``
+shingles. It pairs only texts that are not linked yet, so large groups of near
+copies, which the keys link, are not expanded.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ LANES, KEYS, COORDINATES = 8, 8, 16
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Standard errors by which the distance of two lanes may exceed what the threshold implies.
 LOOSE = 3.5
+#: Texts, about, whose shingles tell which are frequent, and how many of those are told; both bear on cost only.
+SAMPLE, FREQUENT = 5_000, 50_000
 #: Texts of a loose group whose sets meet in one task; larger groups meet block by block.
 BLOCK = 4096
 #: A list of documents to compare of more bytes than this is joined by shuffle instead of broadcast.
@@ -87,11 +92,44 @@ def _lane_hashes(hashes: np.ndarray, lane: int) -> np.ndarray:
     return mix(hashes ^ np.uint64((lane + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
-def _fingerprints(lanes: int, words: int):
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes of a set (ascending) of which a set with this Jaccard similarity shares one, if both take theirs in one order.
+
+    The order is by frequency as far as ``frequent`` (ascending) has it, ``counts``, and then by hash.
+    """
+    n = len(hashes)
+    least = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if not len(frequent):
+        return hashes[:least]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    rank = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[:least]]
+
+
+def _frequent(docs: DataFrame, doc: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several texts of a sample, ascending, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x or "", words)) for x in batch.column(0).to_pylist()]
+            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    ship(docs.sparkSession)
+    one_in = max(1, docs.count() // SAMPLE)
+    sampled = docs.where(F.pmod(F.xxhash64(F.lit(SEED), doc, text), F.lit(one_in)) == 0).select(text).mapInArrow(run, "h long, n long")
+    top = sampled.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _fingerprints(lanes: int, words: int, prefix_of=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "n", *(f"f{k}" for k in range(lanes))]
         for batch in batches:
             cols: list[list] = [[] for _ in range(lanes + 1)]
+            prefixes: list[np.ndarray] = []
             for text in batch.column(2).to_pylist():
                 if lanes == 1:
                     hashes = xxh64_shingles(text or "", words)
@@ -101,19 +139,26 @@ def _fingerprints(lanes: int, words: int):
                     prints = [fingerprint(_lane_hashes(hashes, k)) for k in range(lanes)]
                 for c, v in zip(cols, (len(hashes), *prints)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], names)
+                if prefix_of:
+                    prefixes.append(prefix_of(hashes).view(np.int64))
+            arrays = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)]
+            if prefix_of:
+                arrays.append(pa.array(prefixes, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["prefix"] * bool(prefix_of))
 
     return run
 
 
-def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, lanes: int = 1, prefix_of=None) -> DataFrame:
     """``doc_id, th, n, f0, f1, ...`` for every row: text hash, number of shingles and fingerprint lanes as signed longs.
 
+    With ``prefix_of``, also ``prefix``, what it gives for the shingle set (several lanes only).
     Null and wordless texts have fingerprint zero.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    return source.mapInArrow(_fingerprints(lanes, words), "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    schema = "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)) + (", prefix array<long>" if prefix_of else "")
+    return source.mapInArrow(_fingerprints(lanes, words, prefix_of), schema)
 
 
 def _signed(x: int) -> int:
@@ -310,19 +355,51 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, b
     return found.select("root", "f0", "blocks", "text").mapInArrow(run, "root long, f0 long, blocks long, hashes binary")
 
 
+def _unlinked(nodes: DataFrame, roots: DataFrame, docs: DataFrame, doc: str, text: str, words: int, similarity: float, broadcast_bytes: int) -> DataFrame:
+    """``a, b``: the pairs of ``nodes(f0, n, prefix, doc_id, th)`` of different ``roots`` that have this similarity; none is lost."""
+    rooted = nodes.join(roots.select(F.col("node"), "root"), nodes["f0"] == F.col("node"), "left")
+    placed = rooted.select("f0", "n", F.coalesce("root", "f0").alias("root"), F.explode("prefix").alias("key"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    met = materialise(placed.join(mixed, "key", "left_semi"), "met")
+    other = met.select(F.col("key").alias("k2"), F.col("f0").alias("fb"), F.col("n").alias("nb"), F.col("root").alias("r2"))
+    sized = F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(similarity - 1e-9)
+    pairs = met.join(other, (F.col("key") == F.col("k2")) & (F.col("f0") < F.col("fb")) & (F.col("root") != F.col("r2")) & sized)
+    pairs = materialise(pairs.select(F.col("f0").alias("a"), F.col("fb").alias("b")).distinct(), "candidates")
+    members = pairs.select(F.col("a").alias("f0")).union(pairs.select("b")).distinct()
+    wanted = members.join(nodes.select("f0", "doc_id", "th"), "f0").select(F.col("f0").alias("root"), "f0", F.lit(1).cast("long").alias("blocks"), "doc_id", "th")
+    sets = _sets(docs, materialise(wanted, "wanted"), doc, text, words, broadcast_bytes)
+    sets = materialise(sets.select("f0", "hashes").dropDuplicates(["f0"]), "sets")
+    both = pairs.join(sets.select(F.col("f0").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("f0").alias("b"), F.col("hashes").alias("hb")), "b")
+    return both.mapInArrow(_verify(similarity), "a long, b long")
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("ha"), batch.column("hb")):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared > 0 and shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def similar(
     docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``doc_id, th, n, f0.., root, component_id`` for every row, linking texts whose shingle sets have this Jaccard similarity.
 
-    Candidates come from random coordinates of 512-bit fingerprints: a pair at 0.8 is
-    met by some key with probability 0.99, one at 0.85 with 0.999. What they link is
-    decided by the sets and so exact. Texts with equal first lanes count as copies.
-    Cases as in ``near_duplicates``.
+    Random coordinates of 512-bit fingerprints link most; the pairs that no key brings
+    together are found by shared rare shingles, without loss. The sets decide on every
+    link. Texts with equal first lanes count as copies. Cases as in ``near_duplicates``.
     """
     lanes = [F.col(f"f{k}") for k in range(LANES)]
-    prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES), "fingerprints")
-    first = F.min(F.struct("n", *lanes[1:], F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    frequent, counts = _frequent(docs, doc, text, words)
+    prefix_of = lambda hashes: prefix(hashes, similarity, frequent, counts)
+    prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES, prefix_of=prefix_of), "fingerprints")
+    first = F.min(F.struct("n", *lanes[1:], F.col("doc_id").isNull().alias("none"), "doc_id", "th", "prefix"))
     nodes = materialise(prints.groupBy("f0").agg(first.alias("s")).select("f0", "s.*").drop("none"), "nodes")
     masks = coordinate_masks()
     keys = [F.xxhash64(F.lit(k), F.lit(i), lane.bitwiseAND(F.lit(m))) for k, lane in enumerate(lanes) for i, m in enumerate(masks)]
@@ -342,7 +419,11 @@ def similar(
     met = sets.select("root", "f0", "hashes", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     pairs = met.groupBy("root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
     links = pairs.applyInArrow(_exact(similarity), "a long, b long").distinct()
-    return _grouped(prints, components(links))
+    roots = components(links)
+    rest = materialise(_unlinked(nodes, roots, docs, doc, text, words, similarity, broadcast_bytes), "links")
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    return _grouped(prints.drop("prefix"), roots)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

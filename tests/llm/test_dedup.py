@@ -283,3 +283,15 @@ def test_components(spark):
     roots = brute_components(nodes, lambda a, b: (a, b) in links or (b, a) in links)
     assert {n: nodes[r] for n, r in zip(nodes, roots) if nodes[r] != n} == {n: r for n, r in got.items() if n != r}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_loses_no_pair(spark):
+    """Short texts at exactly 0.8, where majority bits are biased: 8 against 9 words, and 12 of 15 shingles."""
+    rng = random.Random(31)
+    docs = []
+    for k in range(600):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(8 if k % 2 else 16)]
+        docs.append((len(docs), " ".join(w)))
+        docs.append((len(docs), " ".join(w + [f"x{k}" * (1 + i) for i in range(1 if k % 2 else 3)])))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [d for d, c in got.items() if c != d - d % 2] == []
