@@ -124,12 +124,18 @@ def _frequent(docs: DataFrame, doc: str, text: str, words: int) -> tuple[np.ndar
     return hashes[order], counts[order]
 
 
+def set_hash(hashes: np.ndarray) -> int:
+    """Hash of a set of hashes (ascending), signed; zero if it is empty."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)) if len(hashes) else 0
+
+
 def _fingerprints(lanes: int, words: int, prefix_of=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "n", *(f"f{k}" for k in range(lanes))]
         for batch in batches:
             cols: list[list] = [[] for _ in range(lanes + 1)]
             prefixes: list[np.ndarray] = []
+            nodes: list[int] = []
             for text in batch.column(2).to_pylist():
                 if lanes == 1:
                     hashes = xxh64_shingles(text or "", words)
@@ -141,10 +147,11 @@ def _fingerprints(lanes: int, words: int, prefix_of=None):
                     c.append(v)
                 if prefix_of:
                     prefixes.append(prefix_of(hashes).view(np.int64))
+                    nodes.append(set_hash(hashes))
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)]
             if prefix_of:
-                arrays.append(pa.array(prefixes, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, names + ["prefix"] * bool(prefix_of))
+                arrays += [pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names + ["node", "prefix"] * bool(prefix_of))
 
     return run
 
@@ -152,12 +159,12 @@ def _fingerprints(lanes: int, words: int, prefix_of=None):
 def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, lanes: int = 1, prefix_of=None) -> DataFrame:
     """``doc_id, th, n, f0, f1, ...`` for every row: text hash, number of shingles and fingerprint lanes as signed longs.
 
-    With ``prefix_of``, also ``prefix``, what it gives for the shingle set (several lanes only).
+    With ``prefix_of`` (several lanes only), also the shingle set's hash, ``node``, and ``prefix``, what ``prefix_of`` gives for it.
     Null and wordless texts have fingerprint zero.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    schema = "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)) + (", prefix array<long>" if prefix_of else "")
+    schema = "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)) + (", node long, prefix array<long>" if prefix_of else "")
     return source.mapInArrow(_fingerprints(lanes, words, prefix_of), schema)
 
 
@@ -219,12 +226,12 @@ def _link(nodes: DataFrame, keys: list[Column], bits: int, verify) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b")))
 
 
-def _grouped(prints: DataFrame, roots: DataFrame) -> DataFrame:
+def _grouped(prints: DataFrame, roots: DataFrame, node: str = "f0") -> DataFrame:
     """``prints`` with ``root`` and ``component_id``, the smallest id in the component."""
-    least = prints.groupBy("f0").agg(F.min("doc_id").alias("least"))
-    placed = least.join(roots, least["f0"] == roots["node"], "left").withColumn("root", F.coalesce("root", "f0"))
+    least = prints.groupBy(F.col(node).alias("__node")).agg(F.min("doc_id").alias("least"))
+    placed = least.join(roots, least["__node"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__node"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(smallest, "root").select("f0", "root", "component_id"), "f0")
+    return prints.join(placed.join(smallest, "root").select(F.col("__node").alias(node), "root", "component_id"), node)
 
 
 def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -284,8 +291,9 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
 _FEW = 8
 
 
-def _bucket_edges(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within the runs of equal keys."""
+def _bucket_edges(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, limit: int, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, between nodes (``f0`` if not given), within the runs of equal keys."""
+    node = f0 if node is None else node
     starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
     sizes = np.diff(np.append(starts, len(key)))
     few = np.repeat(sizes <= _FEW, sizes)
@@ -294,21 +302,21 @@ def _bucket_edges(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, limit: int) -
         near = few[s:] & (key[s:] == key[:-s])
         at = np.flatnonzero(near)
         at = at[np.bitwise_count(f0[at] ^ f0[at + s]) + np.bitwise_count(f1[at] ^ f1[at + s]) <= limit]
-        left.append(f0[at])
-        right.append(f0[at + s])
+        left.append(node[at])
+        right.append(node[at + s])
     for k in np.flatnonzero(sizes > _FEW):
         a, b = starts[k], starts[k] + sizes[k]
         edges = np.array(forest(f0[a:b], f1[a:b], limit), np.int64).reshape(-1, 2)
-        left.append(f0[a:b][edges[:, 0]])
-        right.append(f0[a:b][edges[:, 1]])
+        left.append(node[a:b][edges[:, 0]])
+        right.append(node[a:b][edges[:, 1]])
     return tuple(np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right))
 
 
 def _loose(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
-            key, f0, f1 = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "f0", "f1"))
-            a, b = _bucket_edges(key, f0, f1, limit)
+            key, f0, f1, node = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "f0", "f1", "node"))
+            a, b = _bucket_edges(key, f0, f1, limit, node)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         held: list[pa.RecordBatch] = []  # the rows of a key that may go on
@@ -332,44 +340,44 @@ def _loose(limit: int):
 
 def _exact(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        f0 = table.column("f0").to_numpy()
+        node = table.column("node").to_numpy()
         sets = [np.frombuffer(x, np.int64) for x in table.column("hashes").to_pylist()]
         edges = np.array(set_forest(sets, similarity), np.int64).reshape(-1, 2)
-        return pa.table({"a": f0[edges[:, 0]], "b": f0[edges[:, 1]]})
+        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     return run
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, broadcast_bytes: int) -> DataFrame:
-    """``root, f0, blocks, hashes``: the shingle sets of the documents ``wanted(root, f0, blocks, doc_id, th)``."""
+    """``root, node, blocks, hashes``: the shingle sets of the documents ``wanted(root, node, blocks, doc_id, th)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x or "", words)).tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "f0", "blocks", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "node", "blocks", "hashes"])
 
     wanted = F.broadcast(wanted) if bytes_of(wanted) <= broadcast_bytes else wanted
-    wanted = wanted.select("root", "f0", "blocks", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
+    wanted = wanted.select("root", "node", "blocks", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
-    return found.select("root", "f0", "blocks", "text").mapInArrow(run, "root long, f0 long, blocks long, hashes binary")
+    return found.select("root", "node", "blocks", "text").mapInArrow(run, "root long, node long, blocks long, hashes binary")
 
 
 def _unlinked(nodes: DataFrame, roots: DataFrame, docs: DataFrame, doc: str, text: str, words: int, similarity: float, broadcast_bytes: int) -> DataFrame:
-    """``a, b``: the pairs of ``nodes(f0, n, prefix, doc_id, th)`` of different ``roots`` that have this similarity; none is lost."""
-    rooted = nodes.join(roots.select(F.col("node"), "root"), nodes["f0"] == F.col("node"), "left")
-    placed = rooted.select("f0", "n", F.coalesce("root", "f0").alias("root"), F.explode("prefix").alias("key"))
+    """``a, b``: the pairs of ``nodes(node, n, prefix, doc_id, th)`` of different ``roots`` that have this similarity; none is lost."""
+    rooted = nodes.join(roots, "node", "left")
+    placed = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("key"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     met = materialise(placed.join(mixed, "key", "left_semi"), "met")
-    other = met.select(F.col("key").alias("k2"), F.col("f0").alias("fb"), F.col("n").alias("nb"), F.col("root").alias("r2"))
+    other = met.select(F.col("key").alias("k2"), F.col("node").alias("fb"), F.col("n").alias("nb"), F.col("root").alias("r2"))
     sized = F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(similarity - 1e-9)
-    pairs = met.join(other, (F.col("key") == F.col("k2")) & (F.col("f0") < F.col("fb")) & (F.col("root") != F.col("r2")) & sized)
-    pairs = materialise(pairs.select(F.col("f0").alias("a"), F.col("fb").alias("b")).distinct(), "candidates")
-    members = pairs.select(F.col("a").alias("f0")).union(pairs.select("b")).distinct()
-    wanted = members.join(nodes.select("f0", "doc_id", "th"), "f0").select(F.col("f0").alias("root"), "f0", F.lit(1).cast("long").alias("blocks"), "doc_id", "th")
+    pairs = met.join(other, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("fb")) & (F.col("root") != F.col("r2")) & sized)
+    pairs = materialise(pairs.select(F.col("node").alias("a"), F.col("fb").alias("b")).distinct(), "candidates")
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = members.join(nodes.select("node", "doc_id", "th"), "node").select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("blocks"), "doc_id", "th")
     sets = _sets(docs, materialise(wanted, "wanted"), doc, text, words, broadcast_bytes)
-    sets = materialise(sets.select("f0", "hashes").dropDuplicates(["f0"]), "sets")
-    both = pairs.join(sets.select(F.col("f0").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("f0").alias("b"), F.col("hashes").alias("hb")), "b")
+    sets = materialise(sets.select("node", "hashes").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     return both.mapInArrow(_verify(similarity), "a long, b long")
 
 
@@ -393,37 +401,37 @@ def similar(
 
     Random coordinates of 512-bit fingerprints link most; the pairs that no key brings
     together are found by shared rare shingles, without loss. The sets decide on every
-    link. Texts with equal first lanes count as copies. Cases as in ``near_duplicates``.
+    link. Texts with equal shingle sets count as copies. Cases as in ``near_duplicates``.
     """
     lanes = [F.col(f"f{k}") for k in range(LANES)]
     frequent, counts = _frequent(docs, doc, text, words)
     prefix_of = lambda hashes: prefix(hashes, similarity, frequent, counts)
     prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES, prefix_of=prefix_of), "fingerprints")
-    first = F.min(F.struct("n", *lanes[1:], F.col("doc_id").isNull().alias("none"), "doc_id", "th", "prefix"))
-    nodes = materialise(prints.groupBy("f0").agg(first.alias("s")).select("f0", "s.*").drop("none"), "nodes")
+    first = F.min(F.struct("n", *lanes, F.col("doc_id").isNull().alias("none"), "doc_id", "th", "prefix"))
+    nodes = materialise(prints.groupBy("node").agg(first.alias("s")).select("node", "s.*").drop("none"), "nodes")
     masks = coordinate_masks()
     keys = [F.xxhash64(F.lit(k), F.lit(i), lane.bitwiseAND(F.lit(m))) for k, lane in enumerate(lanes) for i, m in enumerate(masks)]
     # two lanes of a pair at the threshold differ in 128 p bits on average
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = round(128 * p + LOOSE * (128 * p * (1 - p)) ** 0.5)
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "f0", "f1").repartition("key").sortWithinPartitions("key")
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "f0", "f1").repartition("key").sortWithinPartitions("key")
     loose = components(keyed.mapInArrow(_loose(limit), "a long, b long").distinct())
     # every node of a loose group, its least one included, with the blocks that the group is cut into
     roots = loose.select("root").distinct()
     members = loose.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    wanted = members.join(blocks, "root").join(nodes.select(F.col("f0").alias("node"), "doc_id", "th"), "node")
-    wanted = materialise(wanted.select("root", F.col("node").alias("f0"), "blocks", "doc_id", "th"), "wanted")
+    wanted = members.join(blocks, "root").join(nodes.select("node", "doc_id", "th"), "node")
+    wanted = materialise(wanted.select("root", "node", "blocks", "doc_id", "th"), "wanted")
     sets = _sets(docs, wanted, doc, text, words, broadcast_bytes)
-    own = F.pmod(F.xxhash64("f0"), F.col("blocks"))
-    met = sets.select("root", "f0", "hashes", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = sets.select("root", "node", "hashes", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     pairs = met.groupBy("root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
     links = pairs.applyInArrow(_exact(similarity), "a long, b long").distinct()
     roots = components(links)
     rest = materialise(_unlinked(nodes, roots, docs, doc, text, words, similarity, broadcast_bytes), "links")
     if not rest.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    return _grouped(prints.drop("prefix"), roots)
+    return _grouped(prints.drop("prefix"), roots, "node").drop("node")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

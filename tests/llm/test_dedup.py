@@ -295,3 +295,18 @@ def test_similar_loses_no_pair(spark):
         docs.append((len(docs), " ".join(w + [f"x{k}" * (1 + i) for i in range(1 if k % 2 else 3)])))
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [d for d, c in got.items() if c != d - d % 2] == []
+
+
+def test_similar_compares_sets_of_equal_first_lanes(spark):
+    """A text at 0.8 to one and below it to another of equal first lanes is linked, whichever of the two comes first."""
+    rng = random.Random(33)
+    docs, same = [], 0
+    for k in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        other = [*w[:-1], f"last{k}"]
+        lanes = [simhash.fingerprint(simhash._lane_hashes(np.unique(sketch.shingle_hashes(" ".join(x))), 0)) for x in (w, other)]
+        same += lanes[0] == lanes[1]
+        docs += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(other)), (3 * k + 2, " ".join(other[80:]))]
+    assert same > 5
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [d for d, c in got.items() if c != d - d % 3] == []
