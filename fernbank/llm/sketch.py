@@ -2,9 +2,11 @@
 
 A text's shingles are its runs of five words (all of it, if it has fewer), after
 ASCII lower-casing and with white space as one space. Each gets a 64-bit hash, and
-the sketch keeps every hash below ``1/scaled`` of the range, or the least one if
-none is. Sketches of parts merge into the sketch of the whole, and the part of one
-sketch found in another estimates containment however unequal the texts are.
+the sketch keeps every hash below ``1/scaled`` of the range, and the ``LEAST`` least
+ones in any case, so short texts keep all. Sketches of parts merge into the sketch of
+the whole. A sketch itself tells the threshold below which it is complete; two are
+compared below the smaller of theirs, and the part of one found in the other
+estimates containment however unequal the texts are.
 
 Hashes of all shingles of a text are made at once: a running polynomial over the
 bytes gives any byte range's hash by one subtraction and one multiplication
@@ -26,9 +28,11 @@ from ..functions.shipping import ship
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALED = 8
+SCALED = 2
+#: So many of the least hashes are kept in any case.
+LEAST = 64
 #: Bytes of a kept hash in the fingerprint string, the high ones.
-KEPT_BYTES = 6
+KEPT_BYTES = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -83,18 +87,25 @@ def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
 
 def sketch(hashes: np.ndarray, scaled: int = SCALED) -> np.ndarray:
     """The kept hashes, sorted, cut to their high bytes."""
-    limit = np.uint64((1 << 64) // scaled - 1)
-    kept = hashes[hashes <= limit]
-    if not len(kept) and len(hashes):
-        kept = hashes.min(keepdims=True)
-    return np.unique(kept >> np.uint64(8 * (8 - KEPT_BYTES)))
+    return _cut(np.unique(hashes >> np.uint64(8 * (8 - KEPT_BYTES))), scaled)
+
+
+def _cut(high: np.ndarray, scaled: int) -> np.ndarray:
+    """Of sorted, distinct high bytes those that a sketch keeps."""
+    return high[: max(LEAST, int(np.searchsorted(high, np.uint64((1 << 8 * KEPT_BYTES) // scaled))))]
+
+
+def complete_below(kept: np.ndarray, scaled: int = SCALED) -> int:
+    """The bound below which a sketch has every hash of its text."""
+    if len(kept) < LEAST:
+        return 1 << 8 * KEPT_BYTES
+    return max((1 << 8 * KEPT_BYTES) // scaled, int(kept[-1]) + 1)
 
 
 def merge(a: np.ndarray, b: np.ndarray, scaled: int = SCALED) -> np.ndarray:
     """The sketch of both texts' shingles together."""
     both = np.union1d(a, b)
-    below = both[both < np.uint64((1 << 8 * KEPT_BYTES) // scaled)]
-    return below if len(below) else both[:1]
+    return _cut(both[both < np.uint64(min(complete_below(a, scaled), complete_below(b, scaled)))], scaled)
 
 
 def to_string(kept: np.ndarray) -> str:
@@ -110,16 +121,20 @@ def from_string(fingerprint: str) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The part of sketch ``a`` found in ``b``; two empty sketches are alike, one is not."""
+def containment(a: np.ndarray, b: np.ndarray, scaled: int = SCALED) -> float:
+    """The part of sketch ``a`` found in ``b``, below the bound to which both are complete; two empty sketches are alike, one is not."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    bound = np.uint64(min(complete_below(a, scaled), complete_below(b, scaled)))
+    a, b = a[a < bound], b[b < bound]
     if not len(a):
-        return float(not len(b))
+        return 0.0
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, scaled: int = SCALED) -> float:
     """The larger of both containments: 1 if either text is wholly within the other."""
-    return max(containment(a, b), containment(b, a))
+    return max(containment(a, b, scaled), containment(b, a, scaled))
 
 
 def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SHINGLE, scaled: int = SCALED) -> DataFrame:
@@ -199,7 +214,7 @@ def edited_fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "te
                 quarter = len(own_text) // 4
                 edited = own_text[: len(own_text) - quarter] + body[:quarter]
                 edited_kept = own_kept if edited == own_text else sketch(shingle_hashes(edited, words), scaled)
-                values = (own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), to_string(own_kept), to_string(edited_kept), likeness(own_kept, edited_kept), likeness(own_kept, kept))
+                values = (own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), to_string(own_kept), to_string(edited_kept), likeness(own_kept, edited_kept, scaled), likeness(own_kept, kept, scaled))
                 for c, v in zip(out, values):
                     c.append(v)
                 last = None if is_copy else (at, doc_id, body, kept)

@@ -137,6 +137,19 @@ def test_edited(spark):
     assert prints[1] == prints[2] and prints[3] == ""
 
 
+def test_sketches_of_short_texts():
+    """Texts of fewer than 64 shingles are compared exactly, longer ones nearly so, and sketches merge at any length."""
+    rng = random.Random(14)
+    for n in [*range(5, 69), 100, 300] * 3:
+        a, b = ([str(rng.random()) for _ in range(n)] for _ in range(2))
+        edit = a[: n - n // 4] + b[: n // 4]
+        hashes = [np.unique(sketch.shingle_hashes(" ".join(x))) for x in (a, edit)]
+        true = len(np.intersect1d(*hashes)) / min(map(len, hashes))
+        prints = [sketch.sketch(h) for h in hashes]
+        assert abs(sketch.likeness(*prints) - true) < (1e-9 if n <= 67 else 0.2), n
+        assert (sketch.merge(*prints) == sketch.sketch(np.concatenate(hashes))).all()
+
+
 # ---- SimHash
 
 
