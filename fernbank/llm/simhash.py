@@ -57,6 +57,8 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 LOOSE = 3.5
 #: Texts, about, whose shingles tell which are frequent, and how many of those are told; both bear on cost only.
 SAMPLE, FREQUENT = 5_000, 50_000
+#: Ranges of hashes, by their seven high bits, in which a set's are counted.
+BINS = 128
 #: Texts of a loose group whose sets meet in one task; larger groups meet block by block.
 BLOCK = 4096
 #: A list of documents to compare of more bytes than this is joined by shuffle instead of broadcast.
@@ -136,6 +138,7 @@ def _fingerprints(lanes: int, words: int, prefix_of=None):
             cols: list[list] = [[] for _ in range(lanes + 1)]
             prefixes: list[np.ndarray] = []
             nodes: list[int] = []
+            bins: list[bytes] = []
             for text in batch.column(2).to_pylist():
                 if lanes == 1:
                     hashes = xxh64_shingles(text or "", words)
@@ -148,10 +151,11 @@ def _fingerprints(lanes: int, words: int, prefix_of=None):
                 if prefix_of:
                     prefixes.append(prefix_of(hashes).view(np.int64))
                     nodes.append(set_hash(hashes))
+                    bins.append(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)]
             if prefix_of:
-                arrays += [pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names + ["node", "prefix"] * bool(prefix_of))
+                arrays += [pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names + ["node", "prefix", "bins"] * bool(prefix_of))
 
     return run
 
@@ -159,12 +163,12 @@ def _fingerprints(lanes: int, words: int, prefix_of=None):
 def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, lanes: int = 1, prefix_of=None) -> DataFrame:
     """``doc_id, th, n, f0, f1, ...`` for every row: text hash, number of shingles and fingerprint lanes as signed longs.
 
-    With ``prefix_of`` (several lanes only), also the shingle set's hash, ``node``, and ``prefix``, what ``prefix_of`` gives for it.
+    With ``prefix_of`` (several lanes only), also the shingle set's hash, ``node``, ``prefix``, what ``prefix_of`` gives for it, and ``bins``, its counts by range.
     Null and wordless texts have fingerprint zero.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    schema = "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)) + (", node long, prefix array<long>" if prefix_of else "")
+    schema = "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)) + (", node long, prefix array<long>, bins binary" if prefix_of else "")
     return source.mapInArrow(_fingerprints(lanes, words, prefix_of), schema)
 
 
@@ -313,10 +317,33 @@ def _bucket_edges(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, limit: int, n
 
 
 def _loose(limit: int):
+    return _by_key(lambda key, node, f0, f1: _bucket_edges(key, f0, f1, limit, node))
+
+
+def _met(similarity: float):
+    """Pairs of nodes with equal keys, different roots and fitting sizes."""
+
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, at, s = [np.zeros((2, 0), np.uint64)], np.arange(len(key)), 0
+        while len(at):
+            s += 1
+            at = at[at + s < len(key)]
+            at = at[key[at + s] == key[at]]
+            sized = np.minimum(n[at], n[at + s]) >= (similarity - 1e-9) * np.maximum(n[at], n[at + s])
+            near = at[sized & (root[at] != root[at + s])]
+            found.append(np.sort(np.stack([node[near], node[near + s]]), axis=0))
+        left, right = np.concatenate(found, 1)
+        return left, right
+
+    return _by_key(pairs)
+
+
+def _by_key(edges):
+    """Apply ``edges`` to whole runs of equal keys, the first of four columns of longs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
-            key, f0, f1, node = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "f0", "f1", "node"))
-            a, b = _bucket_edges(key, f0, f1, limit, node)
+            a, b = edges(*(c.to_numpy().view(np.uint64) for c in table.columns))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         held: list[pa.RecordBatch] = []  # the rows of a key that may go on
@@ -366,13 +393,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, b
 def _unlinked(nodes: DataFrame, roots: DataFrame, docs: DataFrame, doc: str, text: str, words: int, similarity: float, broadcast_bytes: int) -> DataFrame:
     """``a, b``: the pairs of ``nodes(node, n, prefix, doc_id, th)`` of different ``roots`` that have this similarity; none is lost."""
     rooted = nodes.join(roots, "node", "left")
-    placed = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("key"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    met = materialise(placed.join(mixed, "key", "left_semi"), "met")
-    other = met.select(F.col("key").alias("k2"), F.col("node").alias("fb"), F.col("n").alias("nb"), F.col("root").alias("r2"))
-    sized = F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(similarity - 1e-9)
-    pairs = met.join(other, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("fb")) & (F.col("root") != F.col("r2")) & sized)
-    pairs = materialise(pairs.select(F.col("node").alias("a"), F.col("fb").alias("b")).distinct(), "candidates")
+    placed = rooted.select(F.explode("prefix").alias("key"), "node", "n", F.coalesce("root", "node").alias("root"))
+    pairs = placed.repartition("key").sortWithinPartitions("key").mapInArrow(_met(similarity), "a long, b long").distinct()
+    bins = [nodes.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
+    pairs = materialise(pairs.join(bins[0], "a").join(bins[1], "b").mapInArrow(_may(similarity), "a long, b long"), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = members.join(nodes.select("node", "doc_id", "th"), "node").select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("blocks"), "doc_id", "th")
     sets = _sets(docs, materialise(wanted, "wanted"), doc, text, words, broadcast_bytes)
@@ -381,6 +405,19 @@ def _unlinked(nodes: DataFrame, roots: DataFrame, docs: DataFrame, doc: str, tex
     return both.mapInArrow(_verify(similarity), "a long, b long")
 
 
+def _may(similarity: float):
+    """Pairs whose counts of hashes by range allow the similarity: the lesser counts add up to no less than what is shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(f"bins_{c}").to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64) for c in "ab")
+            shared = np.minimum(a, b).sum(1)
+            near = shared >= similarity * (a.sum(1) + b.sum(1) - shared) - 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,7 +444,7 @@ def similar(
     frequent, counts = _frequent(docs, doc, text, words)
     prefix_of = lambda hashes: prefix(hashes, similarity, frequent, counts)
     prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES, prefix_of=prefix_of), "fingerprints")
-    first = F.min(F.struct("n", *lanes, F.col("doc_id").isNull().alias("none"), "doc_id", "th", "prefix"))
+    first = F.min(F.struct("n", *lanes, F.col("doc_id").isNull().alias("none"), "doc_id", "th", "prefix", "bins"))
     nodes = materialise(prints.groupBy("node").agg(first.alias("s")).select("node", "s.*").drop("none"), "nodes")
     masks = coordinate_masks()
     keys = [F.xxhash64(F.lit(k), F.lit(i), lane.bitwiseAND(F.lit(m))) for k, lane in enumerate(lanes) for i, m in enumerate(masks)]
@@ -431,7 +468,7 @@ def similar(
     rest = materialise(_unlinked(nodes, roots, docs, doc, text, words, similarity, broadcast_bytes), "links")
     if not rest.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    return _grouped(prints.drop("prefix"), roots, "node").drop("node")
+    return _grouped(prints.drop("prefix", "bins"), roots, "node").drop("node")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
