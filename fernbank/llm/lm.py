@@ -1,35 +1,35 @@
-"""Language-model scoring by deleted interpolation.
-
-The model is a bigram over classes: the ``head`` most frequent words are classes of
-their own and all other words share one, within which a word is drawn by its own
-frequency. Everything is mixed from maximum-likelihood estimates:
-
-    P(class | context) = l2[b] c(context, class)/c(context) + l1[b] c(class)/N + l0[b]/classes
-    P(word | tail)     = m c(word)/c(tail) + (1 - m)/(tail words + 1)
-
-where b is the context's frequency bucket (powers of two). The weights l and m are
-learned by expectation-maximisation on held-out counts: a tenth of the training
-documents is deleted from the counts, and the weights maximise the likelihood of
-what was deleted. Final scores use the counts of all training documents. The
-probabilities sum to one over the training vocabulary and one unknown word.
-
-How it scales. Four passes, each linear in the tokens:
-
-1. word counts, pre-aggregated by task (only the head, of fixed size, is collected);
-2. texts become class numbers of two bytes and hashes of their tail words, written
-   once as a table bucketed by *block*, a run of about ``block_tokens`` tokens;
-3. each block asks for its distinct bigrams and tail words, with its own counts of
-   them; keys meet in partitions by hash, where they are added up and answered in the
-   order they were asked for. A key travels once for each block however frequent it
-   is, so no word or word pair is hot. The same partitions yield the held-out counts
-   as a histogram of bounded size, which is all that the driver sees;
-4. blocks are joined with their answers (the block table needs no shuffle) and every
-   document is scored.
+"""Language-model scoring by deleted interpolation of n-grams over all words.
+
+Every word of the corpus is itself in the model, by a 64-bit hash; nothing is capped.
+A token's probability mixes the maximum-likelihood estimates of all orders:
+
+    P(w | context) = sum over k of l_k c(last k-1 words, w) / c(last k-1 words)  +  l_0 / (V + 1)
+
+The weights l belong to the *bucket* of the context: the longest part of it that
+training has seen, and the power of two of that part's count. Estimates whose context
+was never seen have no weight, so every context's probabilities over the training
+vocabulary and one unknown word sum to one. The weights are learned by
+expectation-maximisation on held-out counts: a tenth of the training documents is
+deleted from the counts, and the weights maximise the likelihood of what was deleted.
+Final scores use the counts of all training documents.
+
+How it scales. All work is linear in the tokens:
+
+1. texts become *blocks* of about ``block_tokens`` tokens, one row each, with the
+   block's distinct words and its tokens as numbers among them. Documents that are
+   deleted have blocks of their own. Blocks are written once, bucketed by number;
+2. each block asks for its distinct n-grams of all orders with its own counts of them.
+   Keys meet in ranges of the hash, are added up and answered in the order asked. A key
+   travels once for each block however frequent it is, so no word or word pair is hot,
+   and a block sends no more messages than it has keys;
+3. the blocks of deleted documents, joined with their answers, give a histogram of
+   bounded size, which is all that the driver sees;
+4. all blocks are joined with their answers (the block table needs no shuffle) and
+   every document is scored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,15 +39,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from .exchange import gathered, names, pack, pack_sorted, rows, slices, unpack, unpack_sorted
 from .sketch import mix, range_hashes, word_bounds
 from .work import bucketed, materialise
 
-#: Words that are classes of their own, at most (class numbers have two bytes).
-HEAD = 65_535
-#: Tokens in a block, and key occurrences in a partition of keys, about.
-BLOCK_TOKENS = 1 << 21
-ROUNDS = 60
-_FINE = 8  # steps of the histogram for each factor of two
+#: Length of the longest n-grams; four at most.
+ORDER = 3
+#: Tokens in a block, and n-grams in a range of keys, about.
+BLOCK_TOKENS = 1 << 20
+ROUNDS = 40
+#: Steps of the histogram for each factor of two in a probability, and the step of zero.
+_FINE, _ZERO = 3, 255
+#: Buckets of each context length.
+_BUCKETS = 64
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -61,302 +65,269 @@ def token_hashes(text: str | None) -> np.ndarray:
 END = int(token_hashes("")[0])
 
 
-@dataclass
-class Vocabulary:
-    """The head words by ascending hash, with their counts in training and in its deleted tenth, and totals."""
+# ---- blocks
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    deleted: np.ndarray
-    tokens: int
-    tokens_deleted: int
-    types: int
+_BLOCKS = "b long, deleted boolean, doc_ids array<long>, held_out array<boolean>, lengths array<long>, n_words long, words binary, tokens binary"
 
-    @property
-    def tail(self) -> int:
-        """The class of all other words."""
-        return len(self.hashes)
 
-    def class_counts(self, without_deleted: bool) -> np.ndarray:
-        """Counts of all classes, the tail last."""
-        head = self.counts - self.deleted if without_deleted else self.counts
-        total = self.tokens - self.tokens_deleted if without_deleted else self.tokens
-        return np.append(head, total - head.sum())
+class _Open:
+    """Documents gathered for one block."""
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        """The class of each word."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, self.tail)
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.held: list[bool] = []
+        self.hashes: list[np.ndarray] = []
+        self.size = 0
 
+    def add(self, doc_id: int | None, held: bool, hashes: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.hashes.append(hashes)
+        self.size += len(hashes)
 
-@dataclass
-class Weights:
-    """Mixture weights: ``contexts[bucket]`` = (bigram, unigram, uniform), ``tail`` = the part of the tail's own frequencies."""
-
-    contexts: np.ndarray
-    tail: float
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    flags: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        words, inverse, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        deleted = np.bincount(inverse, np.concatenate(flags), len(words)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts), pa.array(deleted)], ["h", "c", "d"])
-
-    for batch in batches:
-        for text, deleted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = token_hashes(text)
-            held.append(found)
-            flags.append(np.full(len(found), deleted, np.uint8))
-            size += len(found)
-            if size >= 4 * BLOCK_TOKENS:
-                yield flush()
-                held.clear()
-                flags.clear()
-                size = 0
-    if held:
-        yield flush()
-
-
-def vocabulary(rows: DataFrame, head: int = HEAD) -> Vocabulary:
-    """Word counts of training ``rows(text, deleted)``."""
-    words = rows.mapInArrow(_counts, "h long, c long, d long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
-    words = materialise(words, "words")
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0)), F.count(F.lit(1))).first()
-    # The head ends at a sixteenth of an octave of frequency, found by a histogram: a sort's limit would send each task's head here.
-    level = F.floor(F.log2("c") * 16)
-    steps = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
-    room, least = head - 1, None
-    for r in steps:
-        room -= r.n
-        if room < 0:
-            break
-        least = r.level
-    is_end = F.col("h") == F.lit(int(np.uint64(END).astype(np.int64)))
-    top = words.where(is_end if least is None else is_end | (level >= least)).collect()
-    table = np.array([(r.h, r.c, r.d) for r in top], np.int64).reshape(-1, 3)
-    hashes = table[:, 0].copy().view(np.uint64)
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], table[order, 1], table[order, 2], int(totals[0]), int(totals[1]), int(totals[2]))
-
-
-_BLOCKS = "b long, doc_id long, held_out boolean, train boolean, deleted boolean, n long, classes binary, tails binary"
-
-
-def _encode(words: Vocabulary, block_tokens: int):
+    def close(self, b: int, deleted: bool) -> pa.RecordBatch:
+        words, tokens = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        lengths = [len(h) for h in self.hashes]
+        values = ([b], [deleted], [self.ids], [self.held], [lengths], [len(words)], [pack_sorted(words)], [pack(tokens)])
+        kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names(_BLOCKS))
+
+
+def _encode(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, size = TaskContext.get().partitionId() << 24, 0
+        number, blocks = TaskContext.get().partitionId() << 24, {False: _Open(), True: _Open()}
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(4).to_pylist():
-                found = token_hashes(text)
-                kinds = words.classes(found)
-                if size >= block_tokens:
-                    block, size = block + 1, 0
-                size += len(found)
-                for c, v in zip(cols, (block, len(found), kinds.astype("<u2").tobytes(), found[kinds == words.tail].astype("<u8").tobytes())):
-                    c.append(v)
-            arrays = [pa.array(cols[0], pa.int64()), *batch.columns[:4], pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["b", "doc_id", "held_out", "train", "deleted", "n", "classes", "tails"])
+            for doc_id, held, deleted, text in zip(*(c.to_pylist() for c in batch.columns)):
+                block = blocks[deleted]
+                block.add(doc_id, held, token_hashes(text))
+                if block.size >= block_tokens:
+                    yield block.close(number, deleted)
+                    number += 1
+        for deleted, block in blocks.items():
+            if block.ids:
+                yield block.close(number, deleted)
+                number += 1
 
     return run
 
 
 class Block:
-    """The tokens of a block's documents, its distinct keys and where each token's key is.
+    """A block's tokens and its distinct n-grams of all orders, as ascending ``keys``; ``at[k]`` has where each token's n-gram of k+1 words is."""
+
+    def __init__(self, row: dict, order: int) -> None:
+        self.doc_ids, self.held, self.lengths = row["doc_ids"], np.array(row["held_out"], bool), np.array(row["lengths"], np.int64)
+        n = int(self.lengths.sum())
+        tokens = unpack_sorted(row["words"], row["n_words"])[unpack(row["tokens"], n).astype(np.int64)]
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
+        key, context = tokens, tokens
+        keys = [self._tagged(mix(tokens), 0)]
+        for k in range(1, order):
+            context = self._before(context)  # the token k places back
+            key = mix(key ^ (context * np.uint64(2 * k + 1) + np.uint64(k)))
+            keys.append(self._tagged(key, k))
+        self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.at = at.reshape(order, n)
+        self.orders = (self.keys & np.uint64(3)).astype(np.int64)
+
+    @staticmethod
+    def _tagged(key: np.ndarray, k: int) -> np.ndarray:
+        """Keys with the n-gram's order less one in their low bits."""
+        return key & ~np.uint64(3) | np.uint64(k)
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        """What stands one place before each token; the end token before a document's first."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.starts] = np.uint64(END)
+        return out
+
+    def counts(self, of_tokens: np.ndarray) -> np.ndarray:
+        """Sums over the tokens of each key."""
+        return np.bincount(self.at.ravel(), np.tile(of_tokens, len(self.at)), len(self.keys)).astype(np.int64)
+
+    def estimates(self, counts: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+        """(each token's context bucket, its maximum-likelihood estimates from one word upwards; zero where the context is new)."""
+        own = [counts[at].astype(np.float64) for at in self.at]
+        # a context's count: that of the n-gram that ends before the token; before the first, documents
+        contexts = [np.full(len(own[0]), float(totals.tokens))]
+        for k in range(1, len(own)):
+            before = np.empty_like(own[0])
+            before[1:] = own[k - 1][:-1]
+            before[self.starts] = totals.documents
+            contexts.append(before)
+        parts = np.stack([np.divide(c, t, out=np.zeros_like(c), where=t > 0) for c, t in zip(own, contexts)])
+        bucket = np.zeros(len(own[0]), np.int64)
+        for k, t in enumerate(contexts):
+            seen = t > 0
+            bucket[seen] = ((k + 1) * _BUCKETS + np.log2(np.maximum(t, 1)).astype(np.int64))[seen]
+        return bucket, parts
+
+
+# ---- questions and answers
+
+
+_ASKED = "p long, b long, deleted boolean, n long, keys binary, numbers binary"
+_ANSWERED = "b long, p long, deleted boolean, n long, counts binary, kept binary, types long, kept_types long"
+
+
+def _ask(order: int, ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            for row in rows(batch):
+                block = Block(row, order)
+                counts = block.counts(np.repeat(~block.held, block.lengths).astype(np.float64))
+                found = [(p, row["b"], row["deleted"], b - a, pack_sorted(block.keys[a:b]), pack(counts[a:b])) for p, a, b in slices(block.keys, ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names(_ASKED))
 
-    Keys are bigrams, context times 2^16 plus class, and tail words.
-    """
+    return run
 
-    def __init__(self, table: pa.Table, end: int, tail: int) -> None:
-        self.n = table.column("n").to_numpy()
-        self.starts = np.concatenate(([0], np.cumsum(self.n)[:-1])).astype(np.int64)
-        self.classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), "<u2").astype(np.uint32)
-        self.context = np.empty_like(self.classes)
-        self.context[1:] = self.classes[:-1]
-        self.context[self.starts] = end
-        self.is_tail = self.classes == tail
-        tails = np.frombuffer(b"".join(table.column("tails").to_pylist()), "<u8")
-        self.pairs, self.pair_of = np.unique(self.context << np.uint32(16) | self.classes, return_inverse=True)
-        self.words, self.word_of = np.unique(tails, return_inverse=True)
-
-    def flags(self, column: pa.ChunkedArray) -> np.ndarray:
-        """A documents' flag for each token."""
-        return np.repeat(column.to_numpy().astype(np.float64), self.n)
-
-    def parts(self, partitions: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For each partition that has any: (partition, positions of its bigrams, positions of its words)."""
-        return list(_split(mix(self.pairs.astype(np.uint64)), mix(self.words), partitions))
-
-
-def _split(pairs: np.ndarray, words: np.ndarray, partitions: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    where = [(h % np.uint64(partitions)).astype(np.int64) for h in (pairs, words)]
-    order = [np.argsort(w, kind="stable") for w in where]
-    ends = [np.cumsum(np.bincount(w, minlength=partitions)) for w in where]
-    begin = [0, 0]
-    for p in range(partitions):
-        stop = [int(e[p]) for e in ends]
-        if stop != begin:
-            yield p, order[0][begin[0] : stop[0]], order[1][begin[1] : stop[1]]
-        begin = stop
-
-
-def _ask(end: int, tail: int, partitions: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = Block(table, end, tail)
-        train, deleted = block.flags(table.column("train")), block.flags(table.column("deleted"))
-        totals = [np.bincount(block.pair_of, w, len(block.pairs)).astype("<u4") for w in (train, deleted)]
-        totals += [np.bincount(block.word_of, w[block.is_tail], len(block.words)).astype("<u4") for w in (train, deleted)]
-        cols: tuple[list, ...] = tuple([] for _ in range(4))
-        for p, pairs, words in block.parts(partitions):
-            numbers = np.concatenate([t[at] for t, at in zip(totals, (pairs, pairs, words, words))])
-            for c, v in zip(cols, (p, block.pairs[pairs].astype("<u4").tobytes(), block.words[words].astype("<u8").tobytes(), zlib.compress(numbers.tobytes(), 1))):
-                c.append(v)
-        b = table.column("b")[0].as_py()
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array([b] * len(cols[0]), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["p", "b", "pairs", "words", "numbers"])
 
-    return run
+def _answer(table: pa.Table) -> pa.Table:
+    """The sums of a range's keys, for every block that asked: all of training, and for deleted blocks also what is kept without them."""
+    asked = table.to_pylist()
+    keys, at = np.unique(np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in asked]), return_inverse=True)
+    numbers = [unpack(r["numbers"], r["n"]).astype(np.float64) for r in asked]
+    sums = np.bincount(at, np.concatenate(numbers), len(keys)).astype(np.uint64)
+    deleted = np.concatenate([x if r["deleted"] else np.zeros(len(x)) for x, r in zip(numbers, asked)])
+    kept = sums - np.bincount(at, deleted, len(keys)).astype(np.uint64)
+    word = keys & np.uint64(3) == 0
+    out, begin = [], 0
+    for k, r in enumerate(asked):
+        own = at[begin : begin + r["n"]]
+        begin += r["n"]
+        types = (int((sums[word] > 0).sum()), int((kept[word] > 0).sum())) if not k else (0, 0)
+        out.append((r["b"], r["p"], r["deleted"], r["n"], pack(sums[own]), pack(kept[own]) if r["deleted"] else None, *types))
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names(_ANSWERED))
 
 
-_ASKED = "p long, b long, pairs binary, words binary, numbers binary"
-_ANSWERED = "b long, p long, answer binary, cell long, weight long"
+@dataclass
+class Totals:
+    """Training tokens, documents and distinct tokens."""
 
+    tokens: int
+    documents: int
+    types: int
 
-def _fine(p: np.ndarray) -> np.ndarray:
-    """Histogram step of a probability; 4095 for zero."""
+
+# ---- weights
+
+
+def _steps(p: np.ndarray) -> np.ndarray:
+    """Histogram steps of probabilities."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.minimum(np.round(-np.log2(p) * _FINE), 4094), 4095).astype(np.int64)
-
-
-def bucket(count: np.ndarray) -> np.ndarray:
-    """The frequency bucket of a context: powers of two."""
-    return np.log2(np.maximum(count, 1)).astype(np.int64) + (count > 0)
-
-
-def _answer(words: Vocabulary):
-    counts = words.class_counts(True)
-    tokens = max(1, int(counts.sum()))
-
-    def run(table: pa.Table) -> pa.Table:
-        pairs = [np.frombuffer(x, "<u4") for x in table.column("pairs").to_pylist()]
-        tails = [np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()]
-        numbers = [np.frombuffer(zlib.decompress(x), "<u4") for x in table.column("numbers").to_pylist()]
-        cut = [np.split(x, [len(a), 2 * len(a), 2 * len(a) + len(w)]) for x, a, w in zip(numbers, pairs, tails)]
-
-        def added(keys: list[np.ndarray], which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = [np.bincount(inverse, np.concatenate([c[which + k] for c in cut]), len(found)).astype(np.int64) for k in (0, 1)]
-            return found, inverse, *sums
-
-        pair, pair_at, c, d = added(pairs, 0)
-        _, word_at, wc, wd = added(tails, 2)
-        held = d > 0
-        context, kind = (pair[held] >> 16).astype(np.int64), (pair[held] & 0xFFFF).astype(np.int64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p2 = np.nan_to_num((c - d)[held] / counts[context])
-        cells = [bucket(counts[context]) << 24 | _fine(p2) << 12 | _fine(counts[kind] / tokens)]
-        weights = [d[held]]
-        held = wd > 0
-        cells.append(1 << 40 | _fine((wc - wd)[held] / max(1, int(counts[-1]))))
-        weights.append(wd[held])
-        cell, inverse = np.unique(np.concatenate(cells), return_inverse=True)
-        weight = np.bincount(inverse, np.concatenate(weights), len(cell)).astype(np.int64)
-        answers, at, wat = [], 0, 0
-        for a, w in zip(pairs, tails):
-            got = np.concatenate([c[pair_at[at : at + len(a)]], wc[word_at[wat : wat + len(w)]]]).astype("<u4")
-            at, wat = at + len(a), wat + len(w)
-            answers.append(zlib.compress(got.tobytes(), 1))
-        n = len(cell)
-        b, p = table.column("b").to_pylist() + [None] * n, table.column("p").to_pylist() + [None] * n
-        none = [None] * len(answers)
-        arrays = [pa.array(b, pa.int64()), pa.array(p, pa.int64()), pa.array(answers + [None] * n, pa.binary()), pa.array(none + cell.tolist(), pa.int64()), pa.array(none + weight.tolist(), pa.int64())]
-        return pa.table(arrays, names=["b", "p", "answer", "cell", "weight"])
+        return np.where(p > 0, np.minimum(np.round(-np.log2(p) * _FINE), _ZERO - 1), _ZERO).astype(np.int64)
+
+
+def _cells(order: int, totals: Totals):
+    """The histogram of a deleted block's tokens over (bucket, step of each estimate)."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["cell", "weight"])
+        block = Block(table.to_pylist()[0], order)
+        cell, parts = block.estimates(gathered(answers, "kept"), totals)
+        for p in parts:
+            cell = cell << 8 | _steps(p)
+        found, weight = np.unique(cell, return_counts=True)
+        return pa.table([pa.array(found), pa.array(weight)], names=["cell", "weight"])
 
     return run
 
 
-def learn(cells: np.ndarray, weights: np.ndarray, classes: int, tail_words: int, rounds: int = ROUNDS) -> Weights:
-    """Expectation-maximisation over the histogram of held-out counts."""
-    prob = lambda step: np.where(step == 4095, 0.0, np.exp2(-step / _FINE))
-    tail = cells >> 40 == 1
-    cell, weight = cells[~tail], weights[~tail].astype(float)
-    b, parts = cell >> 24, np.stack([prob(cell >> 12 & 4095), prob(cell & 4095), np.full(len(cell), 1 / max(1, classes))], 1)
-    mixed = np.full((64, 3), 1 / 3)
+def learn(cells: np.ndarray, weights: np.ndarray, order: int, types: int, rounds: int = ROUNDS) -> np.ndarray:
+    """``[bucket, part]``: mixture weights of the uniform part and of each order, by expectation-maximisation over the histogram.
+
+    Only orders whose context the bucket has seen get weight. A bucket without held-out
+    counts takes the weights of the nearest one with the same context length, or even ones.
+    """
+    buckets = (order + 1) * _BUCKETS
+    parts = [np.full(len(cells), 1 / (types + 1))]
+    for k in range(order):
+        step = cells >> 8 * (order - 1 - k) & 255
+        parts.append(np.where(step == _ZERO, 0.0, np.exp2(-step / _FINE)))
+    parts, b = np.stack(parts, 1), cells >> 8 * order
+    length = np.arange(buckets) // _BUCKETS
+    allowed = (np.arange(order + 1)[None, :] <= length[:, None]).astype(float)
+    mixed = allowed / allowed.sum(1, keepdims=True)
+    seen = np.bincount(b, weights, buckets) > 0
     for _ in range(rounds):
         share = mixed[b] * parts
-        share *= (weight / np.maximum(share.sum(1), 1e-300))[:, None]
-        sums = np.stack([np.bincount(b, share[:, k], 64) for k in range(3)], 1) + 1e-3  # a bucket without held-out counts keeps even weights
-        mixed = sums / sums.sum(1, keepdims=True)
-    p, weight, own = prob(cells[tail] & 4095), weights[tail].astype(float), 0.5
-    for _ in range(rounds if len(p) else 0):
-        got = own * p / np.maximum(own * p + (1 - own) / (tail_words + 1), 1e-300)
-        own = float(np.clip((got * weight).sum() / max(weight.sum(), 1e-300), 1e-6, 1 - 1e-6))
-    return Weights(mixed, own)
+        share *= (weights / np.maximum(share.sum(1), 1e-300))[:, None]
+        sums = np.stack([np.bincount(b, share[:, k], buckets) for k in range(order + 1)], 1) + 1e-3 * allowed
+        mixed = np.where(seen[:, None], sums / sums.sum(1, keepdims=True), mixed)
+    for k in np.flatnonzero(~seen):
+        like = np.flatnonzero(seen & (length == length[k]))
+        if len(like):
+            mixed[k] = mixed[like[np.abs(like - k).argmin()]]
+    return mixed
 
 
+# ---- scores
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(words: Vocabulary, weights: Weights, end: int, partitions: int):
-    counts = words.class_counts(False)
-    n, types = words.tokens, words.types
-    tail_words = types - len(words.hashes)
+def probabilities(block: Block, counts: np.ndarray, totals: Totals, mixed: np.ndarray) -> np.ndarray:
+    """Each token's probability."""
+    bucket, parts = block.estimates(counts, totals)
+    weights = mixed[bucket].T
+    return weights[0] / (totals.types + 1) + (weights[1:] * parts).sum(0)
+
+
+def _score(order: int, totals: Totals, mixed: np.ndarray):
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[x.split()[0] for x in _SCORED.split(", ")])
-        block = Block(table, end, words.tail)
-        got = {p: np.frombuffer(zlib.decompress(a), "<u4") for p, a in zip(answers.column("p").to_pylist(), answers.column("answer").to_pylist())}
-        pair_counts, word_counts = np.zeros(len(block.pairs)), np.zeros(len(block.words))
-        for p, pairs, tails in block.parts(partitions):
-            pair_counts[pairs], word_counts[tails] = got[p][: len(pairs)], got[p][len(pairs) :]
-        context, kind = block.pairs >> np.uint32(16), block.pairs & np.uint32(0xFFFF)
-        mixed = weights.contexts[bucket(counts[context])]
-        p = mixed[:, 0] * pair_counts / np.maximum(counts[context], 1) + mixed[:, 1] * counts[kind] / max(n, 1) + mixed[:, 2] / len(counts)
-        logs = np.log10(p)[block.pair_of]
-        within = weights.tail * word_counts / max(1, int(counts[-1])) + (1 - weights.tail) / (tail_words + 1)
-        c = counts[block.classes].astype(float)
-        c[block.is_tail] = word_counts[block.word_of]
-        logs[block.is_tail] += np.log10(within)[block.word_of]
-        base = np.log10((c + 0.5) / (n + 0.5 * (types + 1)))
+            return pa.table([pa.array([], k) for k in kinds], names=names(_SCORED))
+        block = Block(table.to_pylist()[0], order)
+        counts = gathered(answers, "counts")
+        logs = np.log10(probabilities(block, counts, totals, mixed))
+        c = counts[block.at[0]].astype(np.float64)
+        base = np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.types + 1)))
         by_doc = lambda x: np.add.reduceat(x, block.starts)
-        rows = table.num_rows
-        arrays = [table.column("doc_id"), table.column("held_out"), table.column("n"), pa.array(by_doc((c > 0).astype(np.int64))), pa.array(np.full(rows, n, np.int64)), pa.array(by_doc(base)), pa.array(by_doc(logs))]
-        return pa.table(arrays, names=[x.split()[0] for x in _SCORED.split(", ")])
+        values = (block.doc_ids, block.held, block.lengths, by_doc((c > 0).astype(np.int64)), np.full(len(block.held), totals.tokens), by_doc(base), by_doc(logs))
+        return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=names(_SCORED))
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str = "text", head: int = HEAD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Score every row of ``docs``, learning from those where ``held_out`` is not true.
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: tokens
     with the end, those seen in training, training tokens, the log10 probability under
     the add-0.5 unigram, and under the model. A null text is an empty one (the end
     alone). A null id is kept, and such rows are trained on. Repeated rows count and
-    score each. Without training rows all weight is on the uniform parts. An empty
-    table gives no rows.
+    score each. Without training rows the one unknown word has all probability. An
+    empty table gives no rows. Other columns are ignored.
     """
+    if not 1 <= order <= 4:
+        raise ValueError("order must be 1 to 4")
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    deleted = ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0)
-    rows = source.select("doc_id", "held_out", (~F.col("held_out")).alias("train"), deleted.alias("deleted"), "text")
-    words = vocabulary(rows.where("train").select("text", "deleted"), min(head, HEAD))
-    end = int(words.classes(np.array([END], np.uint64))[0])
-    partitions = max(32, -(-words.tokens // (block_tokens // 2)))
-    blocks = bucketed(rows.mapInArrow(_encode(words, block_tokens), _BLOCKS), "lm_blocks", min(partitions, 100_000), "b")
-    asked = blocks.groupBy("b").applyInArrow(_ask(end, words.tail, partitions), _ASKED)
-    answered = materialise(asked.groupBy("p").applyInArrow(_answer(words), _ANSWERED), "lm-answers")
-    cells = answered.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("weight").alias("weight")).collect()
-    weights = learn(np.array([r.cell for r in cells], np.int64), np.array([r.weight for r in cells], np.int64), len(words.hashes) + 1, words.types - len(words.hashes))
-    answers = answered.where(F.col("b").isNotNull()).select("b", "p", "answer")
-    return blocks.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_score(words, weights, end, partitions), _SCORED)
+    deleted = ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(10)) == 0)
+    texts = source.select("doc_id", "held_out", deleted.alias("deleted"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = bucketed(texts.mapInArrow(_encode(block_tokens), _BLOCKS), "lm_blocks", min(100_000, max(32, size // (4 * block_tokens))), "b")
+    train = F.arrays_zip("held_out", "lengths")
+    trained = F.aggregate(F.filter(train, lambda x: ~x["held_out"]), F.lit(0).cast("long"), lambda a, x: a + x["lengths"])
+    sums = blocks.groupBy("deleted").agg(F.sum(trained).alias("tokens"), F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("documents"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("all"))
+    by = {r.deleted: r for r in sums.collect()}
+    ranges = max(32, -(-order * sum(r["all"] for r in by.values()) // block_tokens))
+    asked = blocks.select(names(_BLOCKS)).mapInArrow(_ask(order, ranges), _ASKED)
+    answered = materialise(asked.repartition(max(1, ranges // 4), "p").groupBy("p").applyInArrow(_answer, _ANSWERED), "lm-answers")
+    found = answered.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("kept_types"), F.lit(0))).first()
+    sum_of = lambda name, kinds: sum(by[k][name] for k in kinds if k in by)
+    kept = Totals(sum_of("tokens", [False]), sum_of("documents", [False]), int(found[1]))
+    totals = Totals(sum_of("tokens", [False, True]), sum_of("documents", [False, True]), int(found[0]))
+    joined = lambda only: blocks.where(only).groupBy("b").cogroup(answered.where(only).groupBy("b"))
+    cells = joined(F.col("deleted")).applyInArrow(_cells(order, kept), "cell long, weight long").groupBy("cell").agg(F.sum("weight").alias("weight")).toArrow()
+    mixed = learn(cells.column("cell").to_numpy(), cells.column("weight").to_numpy().astype(np.float64), order, kept.types)
+    return joined(F.lit(True)).applyInArrow(_score(order, totals, mixed), _SCORED)
