@@ -18,15 +18,6 @@ No bucket is expanded into all its pairs. Its members are first held against its
 least member only (a star), the stars' components are found, and then only members
 outside the least member's component are paired with members of other components.
 Since every link inside a component is implied, this loses none that matters.
-
-``similar`` is for a similarity threshold, where close texts may differ in many bits.
-Fingerprints have eight lanes (512 bits) and join keys are 16 coordinates drawn at
-random from a lane. Buckets give spanning forests of loosely close fingerprints, not
-pairs; within the forests' components the shingle sets themselves decide, again as
-spanning forests. Random keys lose pairs, so a prefix-filtered set join finds the
-rest: two sets of this similarity share one of each one's rarest ``floor(0.2 n) + 1``
-shingles. It pairs only texts that are not linked yet, so large groups of near
-copies, which the keys link, are not expanded.
 """
 
 from __future__ import annotations
@@ -42,27 +33,14 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .graph import components
-from .sketch import mix, shingle_hashes, word_bounds
-from .work import bytes_of, materialise
+from .sketch import mix, word_bounds
+from .work import free_name, materialise
 
 SEED = 42
 WORDS = 3
 BITS = 3
 #: Reference fingerprints of the distance table.
 PIVOTS = [int(x) for x in mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)]
-#: For ``similar``: lanes of 64 bits, join keys for each lane and coordinates for each key.
-LANES, KEYS, COORDINATES = 8, 8, 16
-SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Standard errors by which the distance of two lanes may exceed what the threshold implies.
-LOOSE = 3.5
-#: Texts, about, whose shingles tell which are frequent, and how many of those are told; both bear on cost only.
-SAMPLE, FREQUENT = 5_000, 50_000
-#: Ranges of hashes, by their seven high bits, in which a set's are counted.
-BINS = 128
-#: Texts of a loose group whose sets meet in one task; larger groups meet block by block.
-BLOCK = 4096
-#: A list of documents to compare of more bytes than this is joined by shuffle instead of broadcast.
-BROADCAST_BYTES = 16 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -90,89 +68,24 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def _lane_hashes(hashes: np.ndarray, lane: int) -> np.ndarray:
-    return mix(hashes ^ np.uint64((lane + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-
-
-def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The hashes of a set (ascending) of which a set with this Jaccard similarity shares one, if both take theirs in one order.
+def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``doc_id, th, n, f0`` for every row: text hash, number of shingles and fingerprint as signed longs.
 
-    The order is by frequency as far as ``frequent`` (ascending) has it, ``counts``, and then by hash.
+    Null and wordless texts have fingerprint zero.
     """
-    n = len(hashes)
-    least = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-    if not len(frequent):
-        return hashes[:least]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    rank = np.where(frequent[at] == hashes, counts[at], 0)
-    return hashes[np.argsort(rank, kind="stable")[:least]]
-
-
-def _frequent(docs: DataFrame, doc: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in several texts of a sample, ascending, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x or "", words)) for x in batch.column(0).to_pylist()]
-            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    ship(docs.sparkSession)
-    one_in = max(1, docs.count() // SAMPLE)
-    sampled = docs.where(F.pmod(F.xxhash64(F.lit(SEED), doc, text), F.lit(one_in)) == 0).select(text).mapInArrow(run, "h long, n long")
-    top = sampled.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def set_hash(hashes: np.ndarray) -> int:
-    """Hash of a set of hashes (ascending), signed; zero if it is empty."""
-    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)) if len(hashes) else 0
-
+            hashes = [xxh64_shingles(text or "", words) for text in batch.column(2).to_pylist()]
+            counts, prints = [len(h) for h in hashes], [fingerprint(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "th", "n", "f0"])
 
-def _fingerprints(lanes: int, words: int, prefix_of=None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "n", *(f"f{k}" for k in range(lanes))]
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(lanes + 1)]
-            prefixes: list[np.ndarray] = []
-            nodes: list[int] = []
-            bins: list[bytes] = []
-            for text in batch.column(2).to_pylist():
-                if lanes == 1:
-                    hashes = xxh64_shingles(text or "", words)
-                    prints = [fingerprint(hashes)]
-                else:
-                    hashes = np.unique(shingle_hashes(text or "", words))
-                    prints = [fingerprint(_lane_hashes(hashes, k)) for k in range(lanes)]
-                for c, v in zip(cols, (len(hashes), *prints)):
-                    c.append(v)
-                if prefix_of:
-                    prefixes.append(prefix_of(hashes).view(np.int64))
-                    nodes.append(set_hash(hashes))
-                    bins.append(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
-            arrays = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)]
-            if prefix_of:
-                arrays += [pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names + ["node", "prefix", "bins"] * bool(prefix_of))
-
-    return run
-
-
-def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, lanes: int = 1, prefix_of=None) -> DataFrame:
-    """``doc_id, th, n, f0, f1, ...`` for every row: text hash, number of shingles and fingerprint lanes as signed longs.
-
-    With ``prefix_of`` (several lanes only), also the shingle set's hash, ``node``, ``prefix``, what ``prefix_of`` gives for it, and ``bins``, its counts by range.
-    Null and wordless texts have fingerprint zero.
-    """
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    schema = "doc_id long, th long, n long, " + ", ".join(f"f{k} long" for k in range(lanes)) + (", node long, prefix array<long>, bins binary" if prefix_of else "")
-    return source.mapInArrow(_fingerprints(lanes, words, prefix_of), schema)
+    return source.mapInArrow(run, "doc_id long, th long, n long, f0 long")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -199,13 +112,7 @@ def block_masks(bits: int) -> list[int]:
     """Masks of each pair of ``bits + 2`` blocks of the 64 unit pivots."""
     n = bits + 2
     blocks = [sum(1 << k for k in range(64 * i // n, 64 * (i + 1) // n)) for i in range(n)]
-    return [_signed(a | b) for a, b in combinations(blocks, 2)]
-
-
-def coordinate_masks(keys: int = KEYS, coordinates: int = COORDINATES) -> list[int]:
-    """Masks of randomly drawn (seeded) coordinates of a lane."""
-    rng = np.random.default_rng(11)
-    return [_signed(sum(1 << int(k) for k in rng.choice(64, coordinates, replace=False))) for _ in range(keys)]
+    return [signed(a | b) for a, b in combinations(blocks, 2)]
 
 
 def _link(nodes: DataFrame, keys: list[Column], bits: int, verify) -> DataFrame:
@@ -230,7 +137,7 @@ def _link(nodes: DataFrame, keys: list[Column], bits: int, verify) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b")))
 
 
-def _grouped(prints: DataFrame, roots: DataFrame, node: str = "f0") -> DataFrame:
+def grouped(prints: DataFrame, roots: DataFrame, node: str = "f0") -> DataFrame:
     """``prints`` with ``root`` and ``component_id``, the smallest id in the component."""
     least = prints.groupBy(F.col(node).alias("__node")).agg(F.min("doc_id").alias("least"))
     placed = least.join(roots, least["__node"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__node"))
@@ -250,225 +157,7 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     nodes = materialise(prints.select("f0").distinct(), "nodes")
     keys = [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks(bits))]
     roots = _link(nodes, keys, bits, lambda candidates: candidates)
-    return _grouped(prints, roots)
-
-
-def forest(f0: np.ndarray, f1: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of fingerprints at most ``limit`` bits apart over both lanes."""
-    edges: list[tuple[int, int]] = []
-    todo, stack = np.arange(len(f0)), []
-    while len(todo):
-        if not stack:
-            stack, todo = [int(todo[0])], todo[1:]
-        x = stack.pop()
-        near = np.bitwise_count(f0[todo] ^ f0[x]) + np.bitwise_count(f1[todo] ^ f1[x]) <= limit
-        found = todo[near].tolist()
-        edges += [(x, y) for y in found]
-        stack += found
-        todo = todo[~near]
-    return edges
-
-
-def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of sets with this Jaccard similarity; empty sets have none."""
-    sizes = np.array([len(s) for s in sets])
-    values, owners = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    edges: list[tuple[int, int]] = []
-    todo, stack = np.arange(len(sets)), []
-    while len(todo):
-        if not stack:
-            stack, todo = [int(todo[0])], todo[1:]
-        x = stack.pop()
-        spans = zip(np.searchsorted(values, sets[x]).tolist(), np.searchsorted(values, sets[x], "right").tolist())
-        shared = np.bincount(np.concatenate([*(owners[a:b] for a, b in spans), np.zeros(0, np.int64)]), minlength=len(sets))[todo]
-        near = (shared > 0) & (shared >= similarity * (sizes[todo] + sizes[x] - shared))
-        found = todo[near].tolist()
-        edges += [(x, y) for y in found]
-        stack += found
-        todo = todo[~near]
-    return edges
-
-
-#: Buckets of up to so many members are compared in step with each other.
-_FEW = 8
-
-
-def _bucket_edges(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, limit: int, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges, between nodes (``f0`` if not given), within the runs of equal keys."""
-    node = f0 if node is None else node
-    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-    sizes = np.diff(np.append(starts, len(key)))
-    few = np.repeat(sizes <= _FEW, sizes)
-    left, right = [], []
-    for s in range(1, min(_FEW, len(key))):
-        near = few[s:] & (key[s:] == key[:-s])
-        at = np.flatnonzero(near)
-        at = at[np.bitwise_count(f0[at] ^ f0[at + s]) + np.bitwise_count(f1[at] ^ f1[at + s]) <= limit]
-        left.append(node[at])
-        right.append(node[at + s])
-    for k in np.flatnonzero(sizes > _FEW):
-        a, b = starts[k], starts[k] + sizes[k]
-        edges = np.array(forest(f0[a:b], f1[a:b], limit), np.int64).reshape(-1, 2)
-        left.append(node[a:b][edges[:, 0]])
-        right.append(node[a:b][edges[:, 1]])
-    return tuple(np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right))
-
-
-def _loose(limit: int):
-    return _by_key(lambda key, node, f0, f1: _bucket_edges(key, f0, f1, limit, node))
-
-
-def _met(similarity: float):
-    """Pairs of nodes with equal keys, different roots and fitting sizes."""
-
-    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, at, s = [np.zeros((2, 0), np.uint64)], np.arange(len(key)), 0
-        while len(at):
-            s += 1
-            at = at[at + s < len(key)]
-            at = at[key[at + s] == key[at]]
-            sized = np.minimum(n[at], n[at + s]) >= (similarity - 1e-9) * np.maximum(n[at], n[at + s])
-            near = at[sized & (root[at] != root[at + s])]
-            found.append(np.sort(np.stack([node[near], node[near + s]]), axis=0))
-        left, right = np.concatenate(found, 1)
-        return left, right
-
-    return _by_key(pairs)
-
-
-def _by_key(edges):
-    """Apply ``edges`` to whole runs of equal keys, the first of four columns of longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            a, b = edges(*(c.to_numpy().view(np.uint64) for c in table.columns))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []  # the rows of a key that may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            other = np.flatnonzero(key != key[-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if held and (cut or held[-1].column(0)[-1].as_py() != key[0]):
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield flush(pa.Table.from_batches(held))
-
-    return run
-
-
-def _exact(similarity: float):
-    def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        sets = [np.frombuffer(x, np.int64) for x in table.column("hashes").to_pylist()]
-        edges = np.array(set_forest(sets, similarity), np.int64).reshape(-1, 2)
-        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
-
-    return run
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, broadcast_bytes: int) -> DataFrame:
-    """``root, node, blocks, hashes``: the shingle sets of the documents ``wanted(root, node, blocks, doc_id, th)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x or "", words)).tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "node", "blocks", "hashes"])
-
-    wanted = F.broadcast(wanted) if bytes_of(wanted) <= broadcast_bytes else wanted
-    wanted = wanted.select("root", "node", "blocks", F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
-    return found.select("root", "node", "blocks", "text").mapInArrow(run, "root long, node long, blocks long, hashes binary")
-
-
-def _unlinked(nodes: DataFrame, roots: DataFrame, docs: DataFrame, doc: str, text: str, words: int, similarity: float, broadcast_bytes: int) -> DataFrame:
-    """``a, b``: the pairs of ``nodes(node, n, prefix, doc_id, th)`` of different ``roots`` that have this similarity; none is lost."""
-    rooted = nodes.join(roots, "node", "left")
-    placed = rooted.select(F.explode("prefix").alias("key"), "node", "n", F.coalesce("root", "node").alias("root"))
-    pairs = placed.repartition("key").sortWithinPartitions("key").mapInArrow(_met(similarity), "a long, b long").distinct()
-    bins = [nodes.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
-    pairs = materialise(pairs.join(bins[0], "a").join(bins[1], "b").mapInArrow(_may(similarity), "a long, b long"), "candidates")
-    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = members.join(nodes.select("node", "doc_id", "th"), "node").select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("blocks"), "doc_id", "th")
-    sets = _sets(docs, materialise(wanted, "wanted"), doc, text, words, broadcast_bytes)
-    sets = materialise(sets.select("node", "hashes").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.mapInArrow(_verify(similarity), "a long, b long")
-
-
-def _may(similarity: float):
-    """Pairs whose counts of hashes by range allow the similarity: the lesser counts add up to no less than what is shared."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(f"bins_{c}").to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64) for c in "ab")
-            shared = np.minimum(a, b).sum(1)
-            near = shared >= similarity * (a.sum(1) + b.sum(1) - shared) - 1e-6
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return run
-
-
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column("ha"), batch.column("hb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(shared > 0 and shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return run
-
-
-def similar(
-    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """``doc_id, th, n, f0.., root, component_id`` for every row, linking texts whose shingle sets have this Jaccard similarity.
-
-    Random coordinates of 512-bit fingerprints link most; the pairs that no key brings
-    together are found by shared rare shingles, without loss. The sets decide on every
-    link. Texts with equal shingle sets count as copies. Cases as in ``near_duplicates``.
-    """
-    lanes = [F.col(f"f{k}") for k in range(LANES)]
-    frequent, counts = _frequent(docs, doc, text, words)
-    prefix_of = lambda hashes: prefix(hashes, similarity, frequent, counts)
-    prints = materialise(fingerprints(docs, doc=doc, text=text, words=words, lanes=LANES, prefix_of=prefix_of), "fingerprints")
-    first = F.min(F.struct("n", *lanes, F.col("doc_id").isNull().alias("none"), "doc_id", "th", "prefix", "bins"))
-    nodes = materialise(prints.groupBy("node").agg(first.alias("s")).select("node", "s.*").drop("none"), "nodes")
-    masks = coordinate_masks()
-    keys = [F.xxhash64(F.lit(k), F.lit(i), lane.bitwiseAND(F.lit(m))) for k, lane in enumerate(lanes) for i, m in enumerate(masks)]
-    # two lanes of a pair at the threshold differ in 128 p bits on average
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = round(128 * p + LOOSE * (128 * p * (1 - p)) ** 0.5)
-    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "f0", "f1").repartition("key").sortWithinPartitions("key")
-    loose = components(keyed.mapInArrow(_loose(limit), "a long, b long").distinct())
-    # every node of a loose group, its least one included, with the blocks that the group is cut into
-    roots = loose.select("root").distinct()
-    members = loose.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    wanted = members.join(blocks, "root").join(nodes.select("node", "doc_id", "th"), "node")
-    wanted = materialise(wanted.select("root", "node", "blocks", "doc_id", "th"), "wanted")
-    sets = _sets(docs, wanted, doc, text, words, broadcast_bytes)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    met = sets.select("root", "node", "hashes", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    pairs = met.groupBy("root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    links = pairs.applyInArrow(_exact(similarity), "a long, b long").distinct()
-    roots = components(links)
-    rest = materialise(_unlinked(nodes, roots, docs, doc, text, words, similarity, broadcast_bytes), "links")
-    if not rest.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    return _grouped(prints.drop("prefix", "bins"), roots, "node").drop("node")
+    return grouped(prints, roots)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -481,10 +170,11 @@ def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text:
     best = found.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.doc_id", "best.th").alias("k")
     found = found.alias("f")
     same = (F.col("f.root") == F.col("k.root")) & F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("f.th") == F.col("k.th"))
-    kept = found.join(best, same).groupBy(F.col("k.doc_id").alias("__doc"), F.col("k.th").alias("__th")).agg(F.count(F.lit(1)).alias("n"))
+    kept = found.join(best, same).groupBy(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th")).agg(F.count(F.lit(1)).alias("n"))
     kept = materialise(kept, "kept")
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = hashed.join(kept, hashed[doc].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__th")), "left_semi")
+    own = free_name(docs, "hash")
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = hashed.join(kept, hashed[doc].cast("long").eqNullSafe(kept["kept_id"]) & (hashed[own] == kept["kept_th"]), "left_semi")
     if not kept.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates([doc, "__hash"])
-    return rows.drop("__hash")
+        rows = rows.dropDuplicates([doc, own])
+    return rows.drop(own)

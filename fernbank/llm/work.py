@@ -67,3 +67,9 @@ def clean(spark: SparkSession) -> int:
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a written table: the check in front of every broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"_{base}_{k}") not in taken)

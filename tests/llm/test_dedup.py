@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fernbank.llm import decontaminate, graph, lines, simhash, sketch
+from fernbank.llm import decontaminate, graph, lines, simhash, similar, sketch
 
 # ---- line dedup
 
@@ -239,28 +239,49 @@ def group(nodes, roots):
     return out
 
 
-def test_forests():
+@pytest.mark.parametrize("short", [0, 64])
+def test_forests(monkeypatch, short):
     rng = random.Random(7)
+    loose, exact = similar.Loose(0.8), similar.Exact(0.8)
+    monkeypatch.setattr(similar, "SHORT", short)
+    loose.limit = 2
     for _ in range(30):
-        prints = [(rng.getrandbits(3) << 5 | rng.getrandbits(2), rng.getrandbits(6)) for _ in range(rng.randrange(1, 40))]
-        f0, f1 = (np.array(x, np.uint64) for x in zip(*prints))
-        edges = simhash.forest(f0, f1, 2)
-        close = lambda a, b: (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 2
+        prints = [(rng.randrange(8, 12), rng.getrandbits(3) << 5 | rng.getrandbits(2), rng.getrandbits(6)) for _ in range(rng.randrange(1, 40))]
+        columns = tuple(np.array(x, np.uint64) for x in zip(*prints))
+        close = lambda a, b: min(a[0], b[0]) >= 0.8 * max(a[0], b[0]) and (short > 0 or (a[1] ^ b[1]).bit_count() + (a[2] ^ b[2]).bit_count() <= 2)
+        edges = loose.forest(columns)
         assert all(close(prints[a], prints[b]) for a, b in edges)
         joined = {tuple(sorted(e)) for e in edges}
         by_edges = brute_components(list(range(len(prints))), lambda a, b: tuple(sorted((a, b))) in joined)
         assert by_edges == brute_components(prints, close) and len(edges) == len(prints) - len(set(by_edges))
         sets = [np.unique(np.array([rng.randrange(12) for _ in range(rng.randrange(9))], np.int64)) for _ in range(25)]
         alike = lambda a, b: len(a) > 0 and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
-        joined = {tuple(sorted(e)) for e in simhash.set_forest(sets, 0.8)}
+        joined = {tuple(sorted(e)) for e in exact.forest(sets)}
         assert brute_components(list(range(25)), lambda a, b: tuple(sorted((a, b))) in joined) == brute_components(sets, alike)
         key = np.sort(np.array([rng.randrange(5) for _ in prints], np.uint64))
-        a, b = simhash._bucket_edges(key, f0, f1, 2)
-        assert all(x in f0 and y in f0 for x, y in zip(a, b))
+        a, b = loose.of_runs(key, np.arange(len(prints), dtype=np.uint64), *columns)
+        joined = {tuple(sorted(e)) for e in zip(a.tolist(), b.tolist())}
+        both = lambda i, j: key[i] == key[j] and close(prints[i], prints[j])
+        own = list(range(len(prints)))
+        assert brute_components(own, lambda i, j: tuple(sorted((i, j))) in joined) == brute_components(own, both)
 
 
-@pytest.mark.parametrize(("limit", "block"), [(0, 4096), (16 << 20, 2)])
-def test_similar(spark, limit, block):
+def check_similar(spark, docs, **options):
+    """The rows whose group differs from brute force."""
+    got = [(r.doc_id, r.component_id) for r in similar.similar(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()]
+    sets = [set(sketch.shingle_hashes(t or "").tolist()) for _, t in docs]
+    roots = brute_components(sets, lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b) - 1e-9))
+    least = {}
+    for (d, _), r in zip(docs, roots):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    want = [(d, least.get(r)) for (d, _), r in zip(docs, roots)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("options", [{"broadcast_bytes": 0}, {"block": 500, "chunk": 2, "chunk_shingles": 300}])
+def test_similar(spark, options):
+    """Copies of all degrees, in blocks, chunks and joins of every kind."""
     rng = random.Random(12)
     docs = []
     for _ in range(40):
@@ -271,31 +292,24 @@ def test_similar(spark, limit, block):
             for at in rng.sample(range(len(w)), len(w) // 100 + rng.randrange(len(w) // 30)):
                 c[at] = "new" + str(rng.random())
             docs.append((len(docs), " ".join(c)))
-    docs += [(1000, None), (1001, ""), (1002, "one"), (1003, "other"), (None, docs[0][1]), docs[4]]
-    got = [(r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=limit, block=block).collect()]
-    sets = [set(sketch.shingle_hashes(t or "").tolist()) for _, t in docs]
-    alike = lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b))
-    roots = brute_components(sets, alike)
-    least = {}
-    for (d, _), r in zip(docs, roots):
-        if d is not None:
-            least[r] = min(d, least.get(r, d))
-    want = {d: least[r] for (d, _), r in zip(docs, roots)}
-    wrong = [d for d, c in got if want[d] != c]
-    assert len(got) == len(docs) and len(wrong) <= 2
-    assert got.count((1001, 1000)) == 1 and (1002, 1002) in got and (1003, 1003) in got
+    docs += [(1000, None), (1001, ""), (1002, "one"), (1003, "other"), (None, docs[0][1]), docs[4], (1004, "long " * 30000), (1005, "long " * 20000), (None, "nothing like it"), (1006, "one")]
+    check_similar(spark, docs, **options)
 
 
-def test_components(spark):
-    rng = random.Random(9)
-    edges = [(k, k + 1) for k in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
-    rng.shuffle(edges)
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    nodes = sorted({x for e in edges for x in e})
-    links = set(edges)
-    roots = brute_components(nodes, lambda a, b: (a, b) in links or (b, a) in links)
-    assert {n: nodes[r] for n, r in zip(nodes, roots) if nodes[r] != n} == {n: r for n, r in got.items() if n != r}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+def test_similar_in_dense_groups(spark):
+    """Chains and rims of near copies in one group, far larger than a chunk: links that the group's first member doesn't imply."""
+    rng = random.Random(15)
+    docs = []
+    for length in (30, 200):
+        centre = [str(rng.randrange(10**6)) for _ in range(length)]
+        for k in range(80):
+            c = list(centre)
+            at = rng.randrange(length)
+            for i in range(rng.randint(0, length // 25)):
+                c[(at + i) % length] = f"x{k // 2}"
+            docs.append((len(docs), " ".join(c)))
+        docs += [(len(docs) + i, " ".join(centre[i * length // 60 :] + [f"y{j}" for j in range(i * length // 60)])) for i in range(20)]
+    check_similar(spark, docs, chunk=8, chunk_shingles=600, block=2000)
 
 
 def test_similar_loses_no_pair(spark):
@@ -306,20 +320,51 @@ def test_similar_loses_no_pair(spark):
         w = [f"w{rng.randrange(10**6)}" for _ in range(8 if k % 2 else 16)]
         docs.append((len(docs), " ".join(w)))
         docs.append((len(docs), " ".join(w + [f"x{k}" * (1 + i) for i in range(1 if k % 2 else 3)])))
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [d for d, c in got.items() if c != d - d % 2] == []
 
 
-def test_similar_compares_sets_of_equal_first_lanes(spark):
-    """A text at 0.8 to one and below it to another of equal first lanes is linked, whichever of the two comes first."""
+def test_similar_at_the_threshold(spark):
+    """Long texts at or just above 0.8, all by edits that spread the difference or gather it: the fingerprints' limit loses none."""
     rng = random.Random(33)
-    docs, same = [], 0
-    for k in range(60):
-        w = [f"w{rng.randrange(10**6)}" for _ in range(404)]
-        other = [*w[:-1], f"last{k}"]
-        lanes = [simhash.fingerprint(simhash._lane_hashes(np.unique(sketch.shingle_hashes(" ".join(x))), 0)) for x in (w, other)]
-        same += lanes[0] == lanes[1]
-        docs += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(other)), (3 * k + 2, " ".join(other[80:]))]
-    assert same > 5
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert [d for d, c in got.items() if c != d - d % 3] == []
+    docs = []
+    for k in range(300):
+        n = rng.choice([70, 150, 404, 1000])
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        docs.append((2 * k, " ".join(w)))
+        shingles = n - 4
+        if k % 2:  # each lone edit in the middle changes five shingles
+            changed = int(shingles * (1 - 0.8) / (1 + 0.8)) // 5
+            for i in range(changed):
+                w[4 + i * (n - 8) // max(changed, 1)] = f"new{k} {i}".replace(" ", "")
+        else:
+            w = w[: n - int(0.2 * shingles)]
+        docs.append((2 * k + 1, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in similar.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [d for d, c in got.items() if c != d - d % 2] == []
+
+
+def test_similar_candidates_are_few(spark):
+    """Only keys of several sets are left to join, and their number follows the number of documents."""
+    joined = {}
+    for n in (200, 2000):
+        rng = random.Random(n)
+        words = [f"w{k}" for k in range(300)]
+        docs = [(k, "a line that stands in every one of all the documents " + " ".join(rng.choices(words, k=60))) for k in range(n)]
+        docs += [(n + k, docs[k][1] + " tail") for k in range(n // 10)]
+        prints = similar._prints(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 5, 0.8, 5000)
+        joined[n] = prints.where("size(prefix) > 0").count()
+        assert joined[n] < 0.3 * n
+    assert joined[2000] < 15 * joined[200]
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    links = set(edges)
+    roots = brute_components(nodes, lambda a, b: (a, b) in links or (b, a) in links)
+    assert {n: nodes[r] for n, r in zip(nodes, roots) if nodes[r] != n} == {n: r for n, r in got.items() if n != r}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
