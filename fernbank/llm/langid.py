@@ -8,9 +8,11 @@ against the margins, each bit weighted by how reliable it was on the fitting
 sample for that language. The language of least loss is chosen, and a text whose
 two best lie close is flagged as ambiguous.
 
-The model is fitted on a bounded sample (``SAMPLE_ROWS`` for each language, of texts
-up to ``SAMPLE_CHARS``); prediction reads every whole text. The weights have a fixed
-size and go to executors with the code.
+The model is fitted on a sample of rows: about ``SAMPLE_ROWS`` different texts of each
+language, fewer if languages are many, chosen by a hash; all of a language that has no
+more. Sampled texts are read whole, and every language with a labelled text is learned.
+N-grams are counted and weighed on the executors; the driver gets the weights, whose size
+depends on the number of languages alone and which go to executors with the code.
 """
 
 from __future__ import annotations
@@ -26,12 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.shipping import ship
+from .work import materialise
 
-#: The fitting sample: expected rows for each language, and the longest text taken, in characters.
-SAMPLE_ROWS = 600
-SAMPLE_CHARS = 20_000
-#: Rows of the sample in all; languages share them evenly if they are many.
-SAMPLE_TOTAL = 20_000
+#: The fitting sample: different texts of each language, and in all; so many of each language at least, however many there are.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_LEAST = 600, 20_000, 50
 #: Buckets of hashed n-grams.
 FEATURES = 1 << 16
 #: Margins of best and second language below which a prediction is ambiguous, as a difference of probability.
@@ -54,21 +54,40 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1 if (split >> k) & 1 else -1 for split in range(1, 1 << (n - 1))] for k in range(n)], float)
     rng = np.random.default_rng(7)
     bits = int(np.ceil(10 * np.log2(n)))
-    tries = [rng.choice((-1.0, 1.0), (n, bits)) for _ in range(200)]
-    tries = [c[:, np.abs(c.sum(0)) < n] for c in tries]
-    apart = lambda c: min((c[i] != c[j]).sum() for i in range(n) for j in range(i))
-    return max(tries, key=apart)
-
-
-def features(data: bytes) -> np.ndarray:
-    """Hashed 1-, 2- and 3-byte n-grams of text bytes, in lower case with single spaces around words."""
-    b = np.frombuffer(b" " + b" ".join(data.lower().split()) + b" ", np.uint8).astype(np.uint32)
+    best, most = None, -1
+    for _ in range(200 if n <= 64 else 5):
+        code = rng.choice((-1.0, 1.0), (n, bits))
+        code = code[:, np.abs(code.sum(0)) < n]
+        # the largest agreement of two rows, in slabs of rows
+        agree = max(float((part @ code.T - 2 * bits * (np.arange(at, at + len(part))[:, None] >= np.arange(n)[None, :])).max()) for at in range(0, n, 1024) if len(part := code[at : at + 1024]))
+        apart = (code.shape[1] - agree) / 2
+        if apart > most:
+            best, most = code, apart
+    return best
+
+
+def normal_bytes(text: str) -> np.ndarray:
+    """The text's bytes in ASCII lower case with single spaces around words."""
+    return np.frombuffer(b" " + b" ".join(text.encode().lower().split()) + b" ", np.uint8)
+
+
+def features(b: np.ndarray, at: int = 0, to: int | None = None) -> np.ndarray:
+    """Hashed 1-, 2- and 3-byte n-grams of ``b`` that begin from ``at`` on and before ``to``."""
+    to = len(b) if to is None else min(to, len(b))
+    b = b[at : to + 2].astype(np.uint32)
+    n = to - at
     two = b[:-1] << 8 | b[1:]
     three = two[:-1] << 8 | b[2:]
-    grams = np.concatenate((b | 1 << 24, two | 1 << 25, three | 1 << 26))
+    grams = np.concatenate((b[:n] | 1 << 24, two[:n] | 1 << 25, three[:n] | 1 << 26))
     return (grams * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
+def counted(text: str) -> np.ndarray:
+    """How often each feature occurs in the whole text."""
+    b = normal_bytes(text)
+    return sum(np.bincount(features(b, at, at + _SLAB), minlength=FEATURES) for at in range(0, len(b), _SLAB))
+
+
 @dataclass
 class Model:
     """Fitted codes: ``weights[feature, bit]``, ``codes[language, bit]`` and the bits' weight for each language."""
@@ -81,13 +100,11 @@ class Model:
 
     def margins(self, text: str) -> np.ndarray:
         """The bits' mean margins over all n-grams of the whole text."""
-        data = text.encode()
-        total, n = np.zeros(self.codes.shape[1]), 0
-        for at in range(0, len(data), _SLAB):
-            found = features(data[at : at + _SLAB])
-            total += self.weights[found].sum(0, dtype=np.float64)
-            n += len(found)
-        return total / max(n, 1)
+        b = normal_bytes(text)
+        if 3 * len(b) > FEATURES:
+            return (counted(text) @ self.weights.astype(np.float64)) / max(3 * len(b) - 3, 1)
+        found = features(b)
+        return self.weights[found].sum(0, dtype=np.float64) / max(len(found), 1)
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Each language's weighted loss."""
@@ -105,55 +122,96 @@ class Model:
         return self.languages[best], float(p[best]), float(p[best]) - second < AMBIGUOUS
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """Fit the binary classifiers (log-odds of n-grams on either side) and weigh the bits."""
-    languages = sorted(set(langs))
-    codes = codewords(len(languages))
-    counts = np.zeros((len(languages), FEATURES))
-    found = [features(t.encode()) for t in texts]
-    index = {k: i for i, k in enumerate(languages)}
-    for f, k in zip(found, langs):
-        counts[index[k]] += np.bincount(f, minlength=FEATURES)
-    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)  # languages count alike, whatever their rows
+def bit_weights(share: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """``[feature, bit]``: log-odds of features on either side of each bit, from ``share[language, feature]``; languages count alike."""
     tiny = 1e-6
-    weights = np.zeros((FEATURES, codes.shape[1]), np.float32)
-    for bit in range(codes.shape[1]):
-        up, down = codes[:, bit] > 0, codes[:, bit] < 0
-        if up.any() and down.any():
-            weights[:, bit] = np.log((share[up].mean(0) + tiny) / (share[down].mean(0) + tiny))
-    model = Model(languages, codes, weights, np.ones_like(codes) / max(codes.shape[1], 1))
-    right = np.full(codes.shape, 1.0)
-    seen = np.full((len(languages), 1), 1.0)
-    for t, k in zip(texts, langs):
-        right[index[k]] += codes[index[k]] * model.margins(t) > 0
-        seen[index[k]] += 1
-    reliable = np.maximum(right / seen, 1e-3)
-    model.reliable = reliable / reliable.sum(1, keepdims=True)
-    return model
+    up, down = (codes > 0).T.astype(float), (codes < 0).T.astype(float)
+    mean = lambda side: (side @ share) / np.maximum(side.sum(1, keepdims=True), 1) + tiny
+    both = (up.any(1) & down.any(1))[:, None]
+    return np.where(both, np.log(mean(up) / mean(down)), 0.0).T.astype(np.float32)
+
+
+def reliability(codes: np.ndarray, right: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """``[language, bit]``: the weight of bits in a language's loss, from the texts that fell on the right side of ``seen``."""
+    part = np.maximum((right + 1) / (seen[:, None] + 1), 1e-3)
+    return part / part.sum(1, keepdims=True)
 
 
-def sample(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows: about ``rows`` for each language, chosen by a hash of ``key``.
+def sample(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``lang, text`` of the fitting sample: labelled rows whose hash of ``key`` and text is small enough; equal ones once.
 
-    Languages are at most 1,000 (the most frequent) and rows ``SAMPLE_TOTAL`` in all;
-    the sample is cut to twice the expected rows by the same hash.
+    Of each language about ``rows`` are expected, or an even share of ``SAMPLE_TOTAL``,
+    but no fewer than ``SAMPLE_LEAST``; a language with no more different texts gives all.
     """
-    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    totals = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
-    if not totals:
-        return [], []
-    rows = max(1, min(rows, SAMPLE_TOTAL // len(totals)))
-    limit = F.lit(0)
-    for r in totals:
-        limit = F.when(F.col("lang") == r.lang, int(min(1.0, rows / r.n) * (1 << 30))).otherwise(limit)
-    got = labelled.where(F.col("h") < limit).orderBy("h", "lang", "text").limit(2 * rows * len(totals)).select("text", "lang").collect()
-    return [r.text for r in got], [r.lang for r in got]
+    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).where("lang is not null and text is not null")
+    totals = materialise(labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    rows = max(SAMPLE_LEAST, min(rows, SAMPLE_TOTAL // max(1, totals.count())))
+    limits = totals.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(1.1 * rows) / F.col("n")).alias("part"))
+    chosen = labelled.join(limits, F.col("lang") == F.col("of")).where(F.shiftrightunsigned("h", 1).cast("double") / float(1 << 63) <= F.col("part"))
+    return materialise(chosen.dropDuplicates(["lang", "h"]).select("lang", "text"), "language-sample")
+
+
+_BLOCK = 1 << 10  # features weighed in one task
 
 
 def fit_documents(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample of ``docs``. Without labelled rows the model knows no language."""
-    return fit(*sample(docs, lang=lang, text=text, key=key, rows=rows))
+    """Fit the binary classifiers on a sample of ``docs`` and weigh the bits. Without labelled rows the model knows no language."""
+    spark = docs.sparkSession
+    ship(spark)
+    chosen = sample(docs, lang=lang, text=text, key=key, rows=rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, counts in held.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "feature", "n"])
+            held.clear()
+
+        for batch in batches:
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[k] = held.get(k, 0) + counted(body)
+                if len(held) > 32:
+                    yield from flush()
+        yield from flush()
+
+    counts = materialise(chosen.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "language-counts")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
+    codes, index = codewords(len(languages)), {k: i for i, k in enumerate(languages)}
+
+    def weigh(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        share = np.zeros((len(languages), _BLOCK))
+        langs = table.column("lang").to_pylist()
+        share[[index[k] for k in langs], table.column("feature").to_numpy() - block * _BLOCK] = table.column("n").to_numpy() / np.array([totals[k] for k in langs], float)
+        return pa.table({"block": pa.array([block], pa.int64()), "weights": pa.array([bit_weights(share, codes).tobytes()], pa.binary())})
+
+    weights = np.zeros((FEATURES, codes.shape[1]), np.float32)
+    blocks = counts.withColumn("block", F.floor(F.col("feature") / _BLOCK)).groupBy("block").applyInArrow(weigh, "block long, weights binary")
+    for r in blocks.collect() if languages else ():
+        weights[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.weights, np.float32).reshape(_BLOCK, -1)
+    model = Model(languages, codes, weights, np.ones_like(codes) / max(codes.shape[1], 1))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, list] = {}
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                i = index[k]
+                own = found.setdefault(i, [0, 0])
+                own[0] += 1
+                own[1] = own[1] + (codes[i] * model.margins(body) > 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.list_(pa.int64()))], ["i", "seen", "right"])
+
+    judged = chosen.mapInArrow(judge, "i long, seen long, right array<long>") if languages else None
+    if judged is not None:
+        sums = [F.sum(F.get("right", F.lit(k))).alias(f"r{k}") for k in range(codes.shape[1])]
+        seen, right = np.zeros(len(languages)), np.zeros(codes.shape)
+        for r in judged.groupBy("i").agg(F.sum("seen").alias("seen"), F.array(*sums).alias("right")).collect():
+            seen[r.i], right[r.i] = r.seen, r.right
+        model.reliable = reliability(codes, right, seen)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

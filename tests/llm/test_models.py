@@ -51,6 +51,74 @@ def test_language_cases(spark):
     assert langid.identify(docs.limit(0), langid.fit_documents(docs.limit(0))).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Features, weights, margins and decoding by plain loops, over texts of all lengths and languages of all sizes."""
+    rng = random.Random(17)
+    alphabets = {k: "abcdefghijklmnopqrstuvwxyzéß"[i : i + 9] + " " for i, k in enumerate(["da", "de", "en", "fi", "long", "one"])}
+    make = lambda k, n: "".join(rng.choice(alphabets[k]) for _ in range(n))
+    rows = [(len(alphabets) * i + j, make(k, rng.choice([1, 5, 60])), k) for i in range(12) for j, k in enumerate(["da", "de", "en", "fi"])]
+    rows += [(900 + i, make("long", 40_000), "long") for i in range(3)] + [(990, make("one", 30), "one"), (None, None, "en"), (991, "no label", None)]
+    rows += [rows[0]] * 5 + [(None, "same", "en")] * 9  # copies count once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_documents(docs)
+
+    def grams(text):
+        b = b" " + b" ".join(text.encode().lower().split()) + b" "
+        out = {}
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                f = (int.from_bytes(b[i : i + n], "big") | n_tag[n]) * 0x9E3779B1 % 2**32 >> 16
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    n_tag = {1: 1 << 24, 2: 1 << 25, 3: 1 << 26}
+    distinct = {(d, t, k) for d, t, k in rows if t is not None and k is not None}
+    assert model.languages == sorted(alphabets)
+    share = {}
+    for k in model.languages:
+        total = {}
+        for _, t, own in distinct:
+            for f, n in grams(t).items() if own == k else ():
+                total[f] = total.get(f, 0) + n
+        share[k] = {f: n / sum(total.values()) for f, n in total.items()}
+
+    def weight(f, bit):
+        sides = []
+        for sign in (1, -1):
+            own = [share[k].get(f, 0) for k, c in zip(model.languages, model.codes) if c[bit] == sign]
+            sides.append(sum(own) / len(own) + 1e-6)
+        return math.log(sides[0] / sides[1])
+
+    def margins(text):
+        g = grams(text)
+        return [sum(n * weight(f, bit) for f, n in g.items()) / sum(g.values()) for bit in range(model.codes.shape[1])]
+
+    texts = {t for _, t, _ in distinct if len(t) < 100} | {"", "x", "new words\n here"}
+    found = {t: margins(t) for t in sorted(texts)[:25]}
+    for t, m in found.items():
+        assert model.margins(t) == pytest.approx(m, abs=1e-5)
+        losses = [sum(w * math.log1p(math.exp(-8 * c * x)) for w, c, x in zip(r, code, m)) * len(m) for r, code in zip(model.reliable, model.codes)]
+        p = [math.exp(min(losses) - x) for x in losses]
+        lang, score, _ = model.predict(t)
+        if any(c.isalpha() for c in t):
+            assert score == pytest.approx(max(p) / sum(p), abs=1e-4) and losses[model.languages.index(lang)] == pytest.approx(min(losses), abs=1e-4)
+        else:
+            assert lang == "und"
+    text = make("long", 120_000)  # counted in one go, not gathered
+    assert model.margins(text) == pytest.approx(margins(text), abs=1e-5) and model.predict(text)[0] == "long"
+    one = [(t, k) for _, t, k in distinct if k == "one"]
+    right = [1 + sum((x > 0) == (c > 0) for t, _ in one for x in [margins(t)[bit]]) for bit, c in enumerate(model.codes[model.languages.index("one")])]
+    assert model.reliable[model.languages.index("one")] == pytest.approx([x / 2 / sum(y / 2 for y in right) for x in right])
+
+
+def test_language_many(spark):
+    """Every labelled language is learned, however many there are and however few rows it has."""
+    rows = [(k, f"{chr(97 + k // 26)}{chr(97 + k % 26)} " * 9, f"l{k}") for k in range(420)]
+    model = langid.fit_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 420
+    assert sum(model.predict(t)[0] == k for _, t, k in rows) > 400
+
+
 # ---- language model
 
 
@@ -85,7 +153,7 @@ def brute_lm(docs, held, deleted, order):
     cells = {}
     for t, d in zip(docs, deleted):
         for b, ps in tokens(t, kept) if d else ():
-            near = (b, tuple(2.0 ** (-min(round(-math.log2(p) * 3), 254) / 3) if p else 0.0 for p in ps))
+            near = (b, tuple(2.0 ** -min(round(-math.log2(p)), 254) if p else 0.0 for p in ps))
             cells[near] = cells.get(near, 0) + 1
     weights = {}
     for b in {b for b, _ in cells}:
@@ -164,7 +232,7 @@ def test_lm_sums_to_one(order):
     block = lm._Open()
     for k, text in enumerate([*train, *(t for _, t in held_texts)]):
         block.add(k, k >= len(train), lm.token_hashes(text))
-    block = lm.Block(block.close(0, False).to_pylist()[0], order)
+    block = lm.Block(block.close(0, False).to_pylist()[0], order, 60)
     counts = block.counts(np.repeat(~block.held, block.lengths).astype(float))
     totals = lm.Totals(21 * 40, 40, len(known) + 1)
     bucket, parts = block.estimates(counts, totals)
@@ -180,12 +248,12 @@ def test_lm_sums_to_one(order):
 
 
 def test_weights_are_maximal():
-    cells = np.array([(2 * 64 + 3) << 16 | 30 << 8 | 6, (2 * 64 + 3) << 16 | 20 << 8 | 255], np.int64)
+    cells = np.array([(2 * 64 + 3) << 16 | 10 << 8 | 2, (2 * 64 + 3) << 16 | 7 << 8 | 255], np.int64)
     weights = np.array([70.0, 30.0])
     got = lm.learn(cells, weights, 2, 999, rounds=2000)
 
     def likelihood(m):
-        p = np.array([[1e-3, 2.0**-10, 2.0**-2], [1e-3, 2 ** (-20 / 3), 0]])
+        p = np.array([[1e-3, 2.0**-10, 2.0**-2], [1e-3, 2.0**-7, 0]])
         return float(weights @ np.log(p @ m))
 
     best = got[2 * 64 + 3]
