@@ -188,6 +188,6 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
     hits = decontaminate(docs, benchmark, doc=doc, text=text, broadcast_bytes=broadcast_bytes)
-    hits = materialise(hits.where("n_hit > 0").select(F.col("doc").alias("__doc"), F.col("th").alias("__th")).distinct(), "contaminated")
-    same = docs[doc].eqNullSafe(F.col("__doc")) & F.xxhash64(docs[text]).eqNullSafe(F.col("__th"))
+    hits = materialise(hits.where("n_hit > 0").select(F.col("doc").alias("hit_doc"), F.col("th").alias("hit_th")).distinct(), "contaminated")
+    same = docs[doc].eqNullSafe(hits["hit_doc"]) & F.xxhash64(docs[text]).eqNullSafe(hits["hit_th"])
     return docs.join(_small(hits, broadcast_bytes), same, "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import bytes_of, materialise
+from .work import bytes_of, free_name, materialise
 
 #: Lines on more than this part of a site's pages are boilerplate.
 RATIO = 0.1
@@ -55,19 +55,20 @@ def drop_boilerplate(
     drops = materialise(boilerplate(docs, text=text, site=site, ratio=ratio, min_pages=min_pages), "line-drops")
     if bytes_of(drops) <= broadcast_bytes:
         drops = F.broadcast(drops)
-    drops = drops.select(F.col("_site").alias("__site"), F.col("_drop").alias("__drop"))
-    joined = docs.join(drops, docs[site].eqNullSafe(F.col("__site")), "left")
+    own, drop, kept, cut = (free_name(docs, n) for n in ("site", "drop", "kept", "cut"))
+    drops = drops.select(F.col("_site").alias(own), F.col("_drop").alias(drop))
+    joined = docs.join(drops, docs[site].eqNullSafe(drops[own]), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(line)))
-    staged = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(kept))
+    left = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col(drop), F.xxhash64(line)))
+    staged = joined.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(left))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    n_kept = F.coalesce(F.size("__kept"), F.lit(0))
+    n_kept = F.coalesce(F.size(kept), F.lit(0))
     counted = staged.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"),
         "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(n_lines - n_kept).cast("long"),
-        "__text": F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")),
+        cut: F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
     })
-    return counted.withColumn(text, F.col("__text")).drop("__site", "__drop", "__kept", "__text")
+    return counted.withColumn(text, F.col(cut)).drop(own, drop, kept, cut)
 
 
 ORACLE_SQL = f"""

@@ -12,7 +12,7 @@ from fernbank.llm import decontaminate, graph, lines, simhash, similar, sketch
 
 # ---- line dedup
 
-PAGES = "doc_id long, text string, source string, _drop int, n_lines string"
+PAGES = "doc_id long, text string, source string, _drop int, n_lines string, __text int, _cut_0 int, _SITE_0 string"
 
 
 def brute_lines(rows, ratio, min_pages):
@@ -39,10 +39,11 @@ def test_lines(spark, limit):
     for k in range(120):
         site = rng.choice(["hot", "hot", "a", None])
         text = "\n".join(rng.choice(["cookie notice", "", "  ", "shared", *[f"line {i}" for i in range(200)]]) for _ in range(rng.randrange(6)))
-        rows.append((k, rng.choice([text, text, None]) if k % 7 else None, site, 1, "x"))
-    rows += [rows[3]] * 2 + [(None, "cookie notice\ncookie notice", "hot", 1, "x")]
+        rows.append((k, rng.choice([text, text, None]) if k % 7 else None, site, 1, "x", k, 5, "s"))
+    rows += [rows[3]] * 2 + [(None, "cookie notice\ncookie notice", "hot", 1, "x", 4, 5, "s"), (500, "cookie notice\n" + "long line " * 20_000 + "\n" * 50_000, "hot", 1, "x", 6, 5, "s")]
     got = lines.drop_boilerplate(spark.createDataFrame(rows, PAGES), ratio=0.1, min_pages=3, broadcast_bytes=limit)
-    assert set(got.columns) == {"doc_id", "text", "source", "_drop", "n_lines", "n_dropped"}
+    assert set(got.columns) == {"doc_id", "text", "source", "_drop", "n_lines", "n_dropped", "__text", "_cut_0", "_SITE_0"}
+    assert sorted(r["__text"] for r in got.collect()) == sorted(r[5] for r in rows) and {(r["_cut_0"], r["_SITE_0"]) for r in got.collect()} == {(5, "s")}
     key = lambda r: [(x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=key) == sorted(brute_lines(rows, 0.1, 3), key=key)
     assert lines.drop_boilerplate(spark.createDataFrame([], PAGES)).count() == 0
@@ -81,7 +82,8 @@ def test_decontaminate(spark, limit):
     items = [(k, make(rng.choice([0, 1, 2, 3, 4, 5, 6, 9]))) for k in range(14)] + [(90, None), (None, "only here now"), (91, "..."), (3, "zz zz zz zz x1")]
     docs = [(k, make(rng.randrange(30))) for k in range(40)] + [(100, None), (101, ""), (None, "only here now a b"), (7, "same id other text"), (102, items[5][1])]
     docs += [docs[2]] * 2
-    d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, win int, pos int")
+    docs.append((103, "a b " * 5000 + items[5][1]))
+    d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, hit_doc int, th int")
     b = spark.createDataFrame([(*x, 3) for x in items], "item_id long, text string, len int")
     got = decontaminate.decontaminate(d, b, window=4, broadcast_bytes=limit).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
