@@ -31,6 +31,8 @@ SHINGLE = 5
 SCALED = 2
 #: So many of the least hashes are kept in any case.
 LEAST = 64
+#: Text bytes of a range of ids, about, and the most ranges.
+RANGE_BYTES, MAX_RANGES = 8 << 20, 10_000
 #: Bytes of a kept hash in the fingerprint string, the high ones.
 KEPT_BYTES = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -38,7 +40,13 @@ _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Powers that are kept for later texts; longer tables go with their text.
+_KEPT_POWERS = 1 << 18
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > _KEPT_POWERS:
+        return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)))) for base in (_BASE, _UNBASE))
     if len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         for k, base in enumerate((_BASE, _UNBASE)):
@@ -171,31 +179,45 @@ _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def edited_fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", partitions: int | None = None, words: int = SHINGLE, scaled: int = SCALED) -> DataFrame:
     """Fingerprints of every text and of its edit, whose last quarter is the next document's beginning.
 
-    The next document is the next by ascending id (ties by text, nulls first; after
-    the last comes the first). Texts are dealt out once, by ranges of ids; a range's
-    last document finds its successor in a copy of the next range's first rows,
-    whose ids a pass over the ids alone has found. Null texts are empty. Repeated
-    rows follow one another. An empty table gives no rows.
+    The next document is the next by ascending id (nulls first, ties by the text's hash
+    and then the text; after the last comes the first). Texts are dealt out once, by
+    ranges of ids, and by the text's hash within an id that fills several ranges; a
+    range's last document finds its successor in a copy of the next range's first rows,
+    whose keys a pass over ids and hashes has found. Null texts are empty. Repeated
+    rows follow one another and stay in one range. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    cuts = sorted({c for c in cuts if c is not None})
-    part = _ranges(F.col("id"), cuts)
-    firsts = rows.select("id", part.alias("part")).groupBy("part").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("none")).collect()
-    firsts = sorted((r.part, r.first, r.none) for r in firsts)
-    first_ids, previous = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
-    for k, (at, first, none) in enumerate(firsts):
-        first_ids[at], previous[at] = None if none else first, firsts[k - 1][0]
-    nulls_first = bool(firsts) and firsts[0][2]
-    is_first = F.when(F.col("id").isNull(), F.lit(nulls_first)).otherwise(F.col("id") == F.get(_longs(first_ids), part))
-    copy = F.when(is_first, F.get(_longs(previous), part)).cast("int")
-    own = F.struct(part.cast("int").alias("part"), F.lit(0).alias("copy"))
-    wanted = F.array_compact(F.array(own, F.when(copy.isNotNull(), F.struct(copy.alias("part"), F.lit(1).alias("copy")))))
-    dealt = rows.select("id", "text", F.explode(wanted).alias("to")).select(F.col("to.part").alias("part"), F.col("to.copy").alias("copy"), "id", "text")
-    ordered = dealt.repartition(max(1, n), "part").sortWithinPartitions("part", "copy", F.col("id").asc_nulls_first(), "text")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc).cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
+    total, missing, size = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull()), F.sum(F.octet_length("text"))).first()
+    n = partitions or max(8, min(MAX_RANGES, (size or 0) // RANGE_BYTES))
+    quantiles = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
+    # part 0 is the null ids, part k > 0 begins at the k-th of: the least long, the cuts. An id that is several cuts has as many ranges, by hash.
+    heavy = {c: quantiles.count(c) for c in quantiles}
+    cuts = sorted(heavy)
+    shares = [max(1, round(n * missing / max(total, 1))), 0, *(heavy[c] if heavy[c] > 1 else 0 for c in cuts)]
+    ids = [None, None, *cuts]
+    offsets = [0]
+    for k, m in enumerate(shares):
+        offsets.append(offsets[-1] + m + (k > 0))  # beside the heavy id's ranges, one for the ids after it
+    of = F.when(F.col("id").isNull(), 0).otherwise(_ranges(F.col("id"), cuts) + 1)
+    m = F.get(_longs(shares), of)
+    own = (m > 0) & F.col("id").eqNullSafe(F.get(_longs(ids), of))
+    spread = F.shiftright(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 33) * m, 31)  # ascending with the hash, 0 to m - 1
+    placed = rows.withColumn("part", F.get(_longs(offsets), of) + F.when(own, spread).otherwise(m))
+    firsts = placed.groupBy("part").agg(F.min(F.struct("id", "h")).alias("first")).collect()
+    firsts = sorted((r.part, r["first"].id, r["first"].h) for r in firsts)
+    first_ids, first_hs, previous = ([None] * offsets[-1] for _ in range(3))
+    for k, (at, first, h) in enumerate(firsts):
+        first_ids[at], first_hs[at], previous[at] = first, h, firsts[k - 1][0]
+    part = F.col("part")
+    is_first = F.col("id").eqNullSafe(F.get(_longs(first_ids), part)) & (F.col("h") == F.get(_longs(first_hs), part))
+    copy = F.when(is_first, F.get(_longs(previous), part))
+    stays = F.struct(part.alias("part"), F.lit(0).alias("copy"))
+    wanted = F.array_compact(F.array(stays, F.when(copy.isNotNull(), F.struct(copy.alias("part"), F.lit(1).alias("copy")))))
+    dealt = placed.select("id", "h", "text", F.explode(wanted).alias("to")).select(F.col("to.part").alias("part"), F.col("to.copy").alias("copy"), "id", "h", "text")
+    ordered = dealt.repartition(offsets[-1], "part").sortWithinPartitions("part", "copy", F.col("id").asc_nulls_first(), "h", "text").select("part", "copy", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (part, id, text, sketch) that waits for its successor

@@ -118,23 +118,65 @@ def test_sketch_basics():
     assert abs(sketch.containment(sa, half) - 0.5) < 0.1
 
 
-def test_edited(spark):
+def brute_hash(data):
+    """The polynomial hash of a byte string by whole-number arithmetic, and the mixer."""
+    mod, base = 1 << 64, 0x9E3779B97F4A7C15 | 1
+    h = (sum((c + 1) * pow(base, i, mod) for i, c in enumerate(data)) + len(data)) % mod
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * times % mod
+    return h ^ h >> 31
+
+
+def brute_sketch(text):
+    """(kept 4-byte hashes, the bound below which they are complete) of a text's five-word shingles."""
+    w = (text or "").encode().lower().split()
+    k = min(5, len(w))
+    high = sorted({brute_hash(b" ".join(w[i : i + k])) >> 32 for i in range(len(w) - k + 1)}) if w else []
+    kept = high[: max(64, sum(h < 2**31 for h in high))]
+    return kept, 2**32 if len(kept) < 64 else max(2**31, kept[-1] + 1)
+
+
+def brute_likeness(a, b):
+    (x, bx), (y, by) = a, b
+    if not x or not y:
+        return float(not x and not y)
+    x, y = ({h for h in s if h < min(bx, by)} for s in (x, y))
+    return max(len(x & y) / len(s) if s else 0.0 for s in (x, y))
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 30, None])
+def test_edited(spark, partitions):
+    import base64
+    import struct
+
     rng = random.Random(6)
     texts = ["".join(rng.choice("ab é\n") for _ in range(rng.randrange(40))) for _ in range(97)]
-    rows = [(k * 3 % 101, t, "x", 1) for k, t in enumerate(texts)] + [(500, None, "x", 1), (501, "x" * 4000, "x", 1)]
+    texts[:3] = [" ".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(3)]
+    rows = [(k * 3 % 101, t, "x", 1) for k, t in enumerate(texts)] + [(500, None, "x", 1), (501, "x" * 4000, "x", 1), (502, "y z " * 100_000, "x", 1)]
     rows += [(None, "null id", "x", 1), (rows[5][0], "same id", "x", 1), rows[7]]
-    got = sketch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, part string, copy int"), partitions=7).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
-    want = []
+    rows += [(None, f"null id {k % 30}", "x", 1) for k in range(40)] + [(77, f"hot {k} id", "x", 1) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string, copy int")
+    got = sketch.edited_fingerprints(df, partitions=partitions).collect()
+    hashes = {r.t: r.h for r in df.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""], (r[1] or "").encode()))
+    prints, want = {}, []
+
+    def print_of(t):
+        if t not in prints:
+            prints[t] = brute_sketch(t)
+        return prints[t]
+
+    string = lambda s: base64.b64encode(b"".join(struct.pack(">I", h) for h in s[0])).decode()
     for k, (doc, text, *_) in enumerate(order):
         text, nxt = text or "", order[(k + 1) % len(order)][1] or ""
         q = len(text) // 4
         edited = text[: len(text) - q] + nxt[:q]
-        prints = [sketch.sketch(sketch.shingle_hashes(t)) for t in (text, edited, nxt)]
-        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *map(sketch.to_string, prints[:2]), sketch.likeness(prints[0], prints[1]), sketch.likeness(prints[0], prints[2])))
+        own, other, after = map(print_of, (text, edited, nxt))
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), string(own), string(other), brute_likeness(own, other), brute_likeness(own, after)))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert sketch.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert sketch.edited_fingerprints(spark.createDataFrame([(4, "alone")], "doc_id long, text string")).count() == 1
+    assert sketch.edited_fingerprints(spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")).count() == 3
     prints = {r.doc_id: r.fingerprint for r in sketch.fingerprints(spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, None)], "doc_id long, text string")).collect()}
     assert prints[1] == prints[2] and prints[3] == ""
 
