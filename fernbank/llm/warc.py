@@ -6,9 +6,9 @@ metadata name the response's record id in ``WARC-Concurrent-To``.
 
 Archives are written by Spark's text writer: a row is one record and the line
 separator is the blank line that ends a record, so files are ordinary WARC 1.1 in
-gzip and are committed like any other output. They are read whole as binary files,
-parsed by ``Content-Length`` alone (a payload may hold anything), and their records
-are joined through the concurrent-to ids. Only record heads meet in the joins
+gzip and are committed like any other output. They are read as binary files, unpacked
+record by record, parsed by ``Content-Length`` alone (a payload may hold anything), and
+their records are joined through the concurrent-to ids. Only record heads meet in the joins
 unless payloads are asked for.
 """
 
@@ -26,8 +26,9 @@ from ..functions.shipping import ship
 
 #: Equal payloads of fewer bytes than this are stored again, not revisited.
 REVISIT_BYTES = 100
-#: Records in one archive file.
-FILE_RECORDS = 3000
+#: Records and, about, payload bytes in one archive file.
+FILE_RECORDS, FILE_BYTES = 3000, 64 << 20
+_FLUSH = 8 << 20
 CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ANCHORS = ("response", "revisit", "resource")
@@ -94,40 +95,72 @@ def write_archives(pages: DataFrame, target: str, *, page: str = "page_id", url:
     captures of their own. An empty table writes no record.
     """
     found = captures(pages, page=page, url=url, payload=payload, revisit_bytes=revisit_bytes)
-    ids = pages.select(F.col(page).cast("long").alias("page_id"), F.xxhash64(F.coalesce(F.col(payload), F.lit(""))).alias("h"))
+    ids = pages.select(F.col(page).cast("long").alias("page_id"), F.xxhash64(F.coalesce(F.col(payload), F.lit(""))).alias("h"), F.octet_length(F.col(payload)).alias("bytes"))
+    rows, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     if not ids.groupBy("page_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
+        # a page without an id is no record's original, so any number of its own will do and no window gathers such pages
+        lone, named = found.where("page_id is null").withColumn("nth", F.monotonically_increasing_id()), found.where("page_id is not null")
+        found = named.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")).cast("long") - 1).unionByName(lone)
     else:
-        nth = F.lit(0)
-    out = records(found.withColumn("nth", nth))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(target)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of one archive, gzip members and all."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(out)
-    at = 0
+        found = found.withColumn("nth", F.lit(0))
+    in_file = max(1, min(file_records, 3 * rows * FILE_BYTES // max(1, size)))
+    records(found).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", in_file).text(target)
+
+
+def _unpacked(data, step: int) -> Iterator[bytes]:
+    """The archive's bytes in pieces; gzip members are unpacked one after the other."""
+    view, packed = memoryview(data), bytes(memoryview(data)[:2]) == b"\x1f\x8b"
+    member = zlib.decompressobj(31)
+    for at in range(0, len(view), step):
+        piece = view[at : at + step]
+        if not packed:
+            yield bytes(piece)
+            continue
+        while piece:
+            yield member.decompress(piece)
+            piece = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+
+
+def parse(data, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of every record of one archive, gzip members and all.
+
+    Linear in the archive, which may be any buffer; no more than one record and a piece
+    of ``step`` bytes is unpacked at once.
+    """
+    pieces, held = _unpacked(data, step), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        while True:
+            while len(held) < 2 and more():
+                pass
+            if held[:2] != b"\r\n":
+                break
+            del held[:2]
+        if not held:
             return
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode("utf-8", "replace").split(CRLF)
+        seen = 0
+        while (head := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                raise ValueError("a record's head is cut short")
+        lines = held[:head].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record but {lines[0][:40]!r}")
         headers = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
-        start = head_end + 4
-        at = start + int(headers["content-length"])
-        if at > len(data):
-            raise ValueError("a record is cut short")
-        yield headers, data[start:at]
+        stop = head + 4 + int(headers["content-length"])
+        while len(held) < stop:
+            if not more():
+                raise ValueError("a record is cut short")
+        yield headers, bytes(held[head + 4 : stop])
+        del held[:stop]
 
 
 _HEADS = "type string, id string, concurrent_to string, refers_to string, uri string, date string, digest string, block_bytes long, payload_bytes long, payload_sha256 string, fields string, payload binary"
@@ -137,11 +170,15 @@ def _parsed(with_payload: bool):
     names = [x.split()[0] for x in _HEADS.split(", ")]
     kinds = {"block_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
+    def made(cols: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[n], kinds.get(n, pa.string())) for n in names], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 cols: dict[str, list] = {n: [] for n in names}
-                for h, block in parse(content.as_buffer().to_pybytes()):
+                size = 0
+                for h, block in parse(content.as_buffer()):
                     kind = h.get("warc-type")
                     body, fields = None, None
                     if "msgtype=response" in h.get("content-type", ""):
@@ -158,7 +195,11 @@ def _parsed(with_payload: bool):
                     )
                     for n, v in zip(names, row):
                         cols[n].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[n], kinds.get(n, pa.string())) for n in names], names)
+                    size += 1000 + len(stored or b"") * with_payload
+                    if size >= _FLUSH:
+                        yield made(cols)
+                        cols, size = {n: [] for n in names}, 0
+                yield made(cols)
 
     return run
 

@@ -276,6 +276,7 @@ def test_warc_round_trip(spark, tmp_path):
         (6, "", None, "x"),
         (6, "", None, "x"),
         (None, "http://d.example", "z" * 150, "x"),
+        (10, "http://e.example", "long payload " * 100_000, "x"),
         (8, "http://d.example", "z" * 150, "x"),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
@@ -294,9 +295,13 @@ def test_warc_round_trip(spark, tmp_path):
         kind = "revisit" if page in (7, 9) or (page is None) else "response"
         want.append((str(page), kind, len(data), hashlib.sha256(data).hexdigest()))
     assert found == sorted(want)
-    assert {bytes(r.response.payload).decode() for r in got if r.response.payload is not None} == {big, "short", "", "z" * 150}
+    assert {bytes(r.response.payload).decode() for r in got if r.response.payload is not None} == {big, "short", "", "z" * 150, "long payload " * 100_000}
     ids = {r.page_id: r.response.id for r in got}
     assert {r.page_id: r.response.refers_to for r in got if r.response.type == "revisit"} == {7: ids[3], 9: ids[3], None: ids[8]}
+    hot = spark.createDataFrame([(None, None, "q" * 120)] * 50 + [(1, None, "q" * 120)], "page_id long, url string, html string")
+    warc.write_archives(hot, f"file://{tmp_path}/hot")
+    kinds = [r.response.type for r in warc.assemble(warc.read_records(spark, f"file://{tmp_path}/hot")).collect()]
+    assert sorted(kinds) == ["response"] + ["revisit"] * 50
     empty = f"file://{tmp_path}/none"
     warc.write_archives(pages.limit(0), empty)
     assert warc.assemble(warc.read_records(spark, empty)).count() == 0
@@ -317,8 +322,15 @@ def test_parse_members():
     one = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert [b for _, b in warc.parse(one * 2)] == [b"ab"] * 2
     assert [b for _, b in warc.parse(gzip.compress(one) + gzip.compress(one))] == [b"ab"] * 2
-    with pytest.raises(ValueError):
-        list(warc.parse(one[:-6]))
+    for step in (1, 7, 1 << 16):
+        assert [b for _, b in warc.parse(one * 3 + b"\r\n", step)] == [b"ab"] * 3
+        assert [b for _, b in warc.parse(gzip.compress(one * 2) + gzip.compress(one), step)] == [b"ab"] * 3
+    many = gzip.compress(one) * 20_000  # a member a record, as archives usually are
+    assert sum(1 for _ in warc.parse(memoryview(many))) == 20_000
+    for cut in (one[:-6], one[:30], gzip.compress(one)[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parse(cut))
+    assert list(warc.parse(b"")) == []
 
 
 # ---- pipeline
