@@ -17,8 +17,8 @@ from functools import lru_cache
 
 #: Fixed value: the pre-token pattern of this byte-level vocabulary, as published with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs remembered by one Python worker; later ones are encoded each time.
-REMEMBERED = 400_000
+#: Runs remembered by one Python worker, and the longest in characters; others are encoded each time. About 50 MB at most.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 24
 
 
 class _Uneven(Exception):
@@ -43,7 +43,7 @@ class _Runs(dict):
         if not run or run[0].isspace() or run[-1].isspace():
             raise _Uneven
         value = self.encode(self.lead + run)
-        if len(self) < REMEMBERED:
+        if len(run) <= REMEMBERED_CHARS and len(self) < REMEMBERED:
             self[run] = value
         return value
 

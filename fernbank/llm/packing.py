@@ -2,9 +2,9 @@
 
 Both packers share the flow. Texts are tokenised where they are read; an overlong
 document is split losslessly into full pieces and a remainder; pieces go to
-randomised groups by a hash of their document, so that a group holds about
-``group_bytes`` of text whatever the corpus size and no key is hot; and every
-group is packed on its own. Only ids move, once.
+randomised groups by a hash of their document and task, so that a group holds about
+``group_bytes`` of text whatever the corpus size and no key is hot, rows that repeat
+everything included; and every group is packed on its own. Only ids move, once.
 
 * ``pack_first_fit``: first-fit decreasing. A tournament tree over the bins'
   free capacities finds the first bin that has room in O(log bins).
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .bpe import tokenizer
+from .sketch import mix
 
 CAPACITY = 2048
 #: Text bytes that one group of documents holds on average.
 GROUP_BYTES = 4 << 20
 #: Padding that a group may keep before bins are cut up, as a part of its tokens.
 MAX_PADDING = 0.002
+#: Groups that one task packs, about.
+TASK_GROUPS = 8
 #: Sequence ids are the group's number times this, plus the bin's number.
 BINS = 1 << 24
 
@@ -176,11 +179,15 @@ def fill_up(bins: list[list[tuple[int, int, int]]], capacity: int, max_padding:
 
 def _pieces(path: str, end_id: int, capacity: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         t = tokenizer(path)
         end, width = t.one(end_id), len(t.one(end_id))
         step = capacity * width
         out: tuple[list, ...] = ([], [], [], [], [])
         held = 0
+        task = int(mix(np.array([TaskContext.get().partitionId()], np.uint64))[0])
+        repeats: dict[int, int] = {}  # how often a seed has come: whatever their order, rows that repeat get the same groups
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["grp", "doc_id", "start", "doc_tokens", "ids"])
@@ -192,8 +199,11 @@ def _pieces(path: str, end_id: int, capacity: int, groups: int):
             for doc_id, text, seed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = t.encode(text or "") + end
                 n = len(ids) // width
+                repeats[seed] = nth = repeats.get(seed, -1) + 1
+                if len(repeats) > 1 << 20:
+                    repeats.clear()
                 for k, at in enumerate(range(0, len(ids), step)):
-                    for c, v in zip(out, ((seed + k) % groups, doc_id, at // width, n, ids[at : at + step])):
+                    for c, v in zip(out, ((seed + task + nth + k) % groups, doc_id, at // width, n, ids[at : at + step])):
                         c.append(v)
                     held += min(step, len(ids) - at)
                     if held >= 8 << 20:
@@ -235,11 +245,11 @@ def _groups(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capaci
     """Pieces of all documents by randomised group, and the bytes of an id in them."""
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2)).first()[0] or 0  # and the end id
     groups = max(1, -(-total // group_bytes))
-    seeded = source.withColumn("seed", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    seeded = source.withColumn("seed", F.xxhash64("doc_id", "text"))
     pieces = seeded.mapInArrow(_pieces(path, end_id, capacity, groups), _PIECES)
-    return pieces.groupBy("grp"), len(tokenizer(path).one(0))
+    return pieces.repartition(-(-groups // TASK_GROUPS), "grp").groupBy("grp"), len(tokenizer(path).one(0))
 
 
 def _packed(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capacity: int, group_bytes: int, max_padding: float, best: bool) -> DataFrame:

@@ -100,6 +100,19 @@ def test_round_trip(spark, library, pack):
     assert pack(spark.createDataFrame([], DOCS), PATH).count() == 0
 
 
+def test_repeated_rows_spread(spark):
+    """Rows that repeat everything, nulls included, are dealt over all groups."""
+    docs = spark.createDataFrame([(None, None)] * 2000 + [(7, "same words again")] * 2000, "doc_id long, text string").repartition(5)
+    rows = packing.pack_first_fit(docs, PATH, capacity=8, group_bytes=1000).collect()
+    assert len(rows) == 4000
+    for doc_id in (None, 7):
+        groups = {}
+        for r in rows:
+            if r.doc_id == doc_id:
+                groups[r.sequence_id // packing.BINS] = groups.get(r.sequence_id // packing.BINS, 0) + 1
+        assert len(groups) >= 30 and max(groups.values()) < 300
+
+
 def test_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fills = {}
