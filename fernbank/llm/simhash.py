@@ -3,16 +3,21 @@
 A text's fingerprint has a bit for each hash bit that is set in over half of its
 shingles' hashes. Texts are grouped by fingerprint first, so exact copies cost one
 row. The links between fingerprints at Hamming distance ``bits`` or less are found
-with reference fingerprints (pivots) in two ways, both lossless:
-
-* *Unit pivots.* Distances to the 64 one-bit references, less the distance to the
-  zero reference, are a fingerprint's bits. Those 64 references are cut into
-  ``bits + 2`` blocks; a close pair has equal coordinates on two blocks at least, so
-  the coordinates on each pair of blocks are a join key and no close pair is missed.
-* *Random pivots.* The distances to ``len(PIVOTS)`` fixed references are tabulated for
-  each fingerprint, packed into one long. By the triangle inequality a pair that
-  differs by more than ``bits`` in any coordinate cannot be close and is discarded;
-  survivors are verified by their exact distance.
+without loss in three steps:
+
+* *Keys.* The 64 bits are cut into blocks; a close pair is equal on all but ``bits`` of
+  them, so each choice of that many blocks is a join key. There are as many blocks as
+  give keys long enough for the number of fingerprints: a bucket of chance members
+  holds about one, whatever the corpus size.
+* *Pivots.* The distances to ``len(PIVOTS)`` fixed references are tabulated for each
+  fingerprint, packed into one long. By the triangle inequality a pair that differs
+  by more than ``bits`` in any coordinate cannot be close and is discarded.
+* Survivors are verified by their exact distance.
+
+Pivots alone can't bring pairs together: the distances of unlike fingerprints to one
+reference differ by ``bits`` or less in nearly half of all cases, so a grid of pivot
+coordinates fine enough to select would copy each fingerprint more often than it
+divides the pairs.
 
 No bucket is expanded into all its pairs. Its members are first held against its
 least member only (a star), the stars' components are found, and then only members
@@ -108,21 +113,28 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def block_masks(bits: int) -> list[int]:
-    """Masks of each pair of ``bits + 2`` blocks of the 64 unit pivots."""
-    n = bits + 2
+def key_blocks(bits: int, fingerprints: int) -> int:
+    """The least number of blocks whose keys have a bit more than it takes to number the fingerprints, as far as blocks have two bits."""
+    for n in range(bits + 2, 33):
+        if 64 * (n - bits) // n > max(fingerprints, 1).bit_length():
+            return n
+    return max(bits + 2, 32)
+
+
+def block_masks(bits: int, n: int) -> list[int]:
+    """Masks of each choice of ``n - bits`` of ``n`` blocks."""
     blocks = [sum(1 << k for k in range(64 * i // n, 64 * (i + 1) // n)) for i in range(n)]
-    return [signed(a | b) for a, b in combinations(blocks, 2)]
+    return [signed(sum(chosen)) for chosen in combinations(blocks, n - bits)]
 
 
-def _link(nodes: DataFrame, keys: list[Column], bits: int, verify) -> DataFrame:
-    """``node, root`` of the components of fingerprints ``nodes.f0``; ``verify`` keeps the true links of candidates(a, b)."""
+def _link(nodes: DataFrame, keys: list[Column], bits: int) -> DataFrame:
+    """``node, root`` of the components of fingerprints ``nodes.f0``."""
     keyed = nodes.select("f0", F.explode(F.array(*keys)).alias("key"))
     reps = keyed.groupBy("key").agg(F.min("f0").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
     tabled = reps.withColumn("rep_table", _pivot_table(F.col("rep")))
     near = _within(_pivot_table(F.col("f0")), F.col("rep_table"), bits) & (_distance(F.col("f0"), F.col("rep")) <= bits) & (F.col("f0") != F.col("rep"))
     stars = keyed.join(tabled, ["key"]).where(near).select(F.col("f0").alias("a"), F.col("rep").alias("b")).distinct()
-    roots = components(verify(stars))
+    roots = components(stars)
     # Links that the stars don't imply: members outside the main component of a key against members of other components.
     rooted = nodes.join(roots, nodes["f0"] == roots["node"], "left").withColumn("root", F.coalesce("root", "f0"))
     rooted = materialise(rooted.select("f0", "root", *[c for c in nodes.columns if c != "f0"]), "rooted")
@@ -131,7 +143,7 @@ def _link(nodes: DataFrame, keys: list[Column], bits: int, verify) -> DataFrame:
     right = placed.join(mixed, "key").where("root <> main")
     right = right.select(F.col("key").alias("k2"), F.col("f0").alias("fb"), _pivot_table(F.col("f0")).alias("t2"), F.col("root").alias("r2"))
     apart = (F.col("key") == F.col("k2")) & (F.col("root") != F.col("r2")) & _within(_pivot_table(F.col("f0")), F.col("t2"), bits) & (_distance(F.col("f0"), F.col("fb")) <= bits)
-    rest = materialise(verify(placed.join(right, apart).select(F.col("f0").alias("a"), F.col("fb").alias("b")).distinct()), "links")
+    rest = materialise(placed.join(right, apart).select(F.col("f0").alias("a"), F.col("fb").alias("b")).distinct(), "links")
     if rest.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b")))
@@ -145,18 +157,18 @@ def grouped(prints: DataFrame, roots: DataFrame, node: str = "f0") -> DataFrame:
     return prints.join(placed.join(smallest, "root").select(F.col("__node").alias(node), "root", "component_id"), node)
 
 
-def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, blocks: int | None = None) -> DataFrame:
     """``doc_id, th, n, f0, root, component_id`` for every row, linking fingerprints that differ in ``bits`` bits or fewer.
 
     ``component_id`` is the smallest id reachable over links, the row's own included; null ids
     never are, so it is null where all ids are. Null and wordless texts have
     fingerprint zero and link like any other. Repeated rows each give a row. An empty
-    table gives none. Exact: no bucket is capped.
+    table gives none. Exact, whatever number of ``blocks``: no bucket is capped.
     """
     prints = materialise(fingerprints(docs, doc=doc, text=text, words=words), "fingerprints")
     nodes = materialise(prints.select("f0").distinct(), "nodes")
-    keys = [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks(bits))]
-    roots = _link(nodes, keys, bits, lambda candidates: candidates)
+    masks = block_masks(bits, blocks or key_blocks(bits, nodes.count()))
+    roots = _link(nodes, [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)], bits)
     return grouped(prints, roots)
 
 

@@ -250,8 +250,8 @@ def test_near_duplicates_of_texts(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("spread", [2, 4, 7])
-def test_links_in_dense_groups(spark, spread):
+@pytest.mark.parametrize(("spread", "blocks"), [(2, 5), (4, 6), (7, 5), (4, 8)])
+def test_links_in_dense_groups(spark, spread, blocks):
     """Fingerprints around a few centres: chains and rims that no single star reaches."""
     rng = random.Random(spread)
     prints = {0}
@@ -267,8 +267,8 @@ def test_links_in_dense_groups(spark, spread):
     nodes = spark.createDataFrame([(x,) for x in signed], "f0 long")
     from pyspark.sql import functions as F
 
-    keys = [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(simhash.block_masks(3))]
-    found = {r.node: r.root for r in simhash._link(nodes, keys, 3, lambda c: c).collect()}
+    keys = [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(simhash.block_masks(3, blocks))]
+    found = {r.node: r.root for r in simhash._link(nodes, keys, 3).collect()}
     roots = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
     want = {}
     for x, r in zip(signed, roots):
@@ -276,6 +276,26 @@ def test_links_in_dense_groups(spark, spread):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, group(signed, found).values()))
 
 
+def test_pivot_tables_and_keys(spark):
+    """No close pair is discarded by its coordinates or missed by the keys; nearly all others are discarded; keys grow with the number of fingerprints."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    pairs = []
+    for _ in range(3000):
+        a = rng.getrandbits(64)
+        flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+        pairs += [(simhash.signed(a), simhash.signed(a ^ flips), True), (simhash.signed(a), simhash.signed(rng.getrandbits(64)), False)]
+    df = spark.createDataFrame(pairs, "a long, b long, close boolean")
+    tables = [simhash._pivot_table(F.col(c)) for c in "ab"]
+    passed = {r.close: r.share for r in df.groupBy("close").agg(F.avg(simhash._within(*tables, 3).cast("int")).alias("share")).collect()}
+    assert passed[True] == 1 and passed[False] < 0.02
+    for n in (5, 6, 9):
+        masks = [m & (1 << 64) - 1 for m in simhash.block_masks(3, n)]
+        assert all(any((a ^ b) & m == 0 for m in masks) for a, b, close in pairs[:400] if close)
+    assert [simhash.key_blocks(3, n) for n in (0, 10**5, 10**8, 10**10)] == [5, 5, 6, 7]
+
+
 def group(nodes, roots):
     out = {}
     for x in nodes:
