@@ -48,8 +48,10 @@ ORDER = 3
 #: Tokens in a block, and n-grams in a range of keys, about.
 BLOCK_TOKENS = 1 << 20
 ROUNDS = 40
+#: Bits of an n-gram's key beyond those that number all n-grams: of a million n-grams about one shares another's key.
+SPARE_BITS = 20
 #: Steps of the histogram for each factor of two in a probability, and the step of zero.
-_FINE, _ZERO = 3, 255
+_FINE, _ZERO = 1, 255
 #: Buckets of each context length.
 _BUCKETS = 64
 
@@ -115,27 +117,32 @@ def _encode(block_tokens: int):
 
 
 class Block:
-    """A block's tokens and its distinct n-grams of all orders, as ascending ``keys``; ``at[k]`` has where each token's n-gram of k+1 words is."""
+    """A block's tokens and its distinct n-grams of all orders, as ascending ``keys`` of ``bits`` bits; ``at[k]`` has where each token's n-gram of k+1 words is."""
 
-    def __init__(self, row: dict, order: int) -> None:
+    def __init__(self, row: dict, order: int, bits: int) -> None:
         self.doc_ids, self.held, self.lengths = row["doc_ids"], np.array(row["held_out"], bool), np.array(row["lengths"], np.int64)
         n = int(self.lengths.sum())
         tokens = unpack_sorted(row["words"], row["n_words"])[unpack(row["tokens"], n).astype(np.int64)]
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
-        key, context = tokens, tokens
-        keys = [self._tagged(mix(tokens), 0)]
-        for k in range(1, order):
-            context = self._before(context)  # the token k places back
-            key = mix(key ^ (context * np.uint64(2 * k + 1) + np.uint64(k)))
-            keys.append(self._tagged(key, k))
-        self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        self.at = at.reshape(order, n)
-        self.orders = (self.keys & np.uint64(3)).astype(np.int64)
-
-    @staticmethod
-    def _tagged(key: np.ndarray, k: int) -> np.ndarray:
-        """Keys with the n-gram's order less one in their low bits."""
-        return key & ~np.uint64(3) | np.uint64(k)
+        key, context, mask = tokens, tokens, np.uint64((1 << 64) - (1 << 64 - bits))
+        keys, at = [], []
+        for k in range(order):
+            if k:
+                context = self._before(context)  # the token k places back
+                key = mix(key ^ (context * np.uint64(2 * k + 1) + np.uint64(k)))
+            # keys have the n-gram's order less one in their low bits
+            found, where = np.unique((key if k else mix(tokens)) & mask | np.uint64(k), return_inverse=True)
+            keys.append(found)
+            at.append(where)
+        n_distinct, keys = [len(k) for k in keys], np.concatenate(keys)
+        by_key = np.argsort(keys, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[by_key] = np.arange(len(keys))
+        self.keys, begin = keys[by_key], 0
+        self.at = []
+        for where, n_own in zip(at, n_distinct):
+            self.at.append(place[begin : begin + n_own][where].astype(np.uint32))
+            begin += n_own
 
     def _before(self, x: np.ndarray) -> np.ndarray:
         """What stands one place before each token; the end token before a document's first."""
@@ -146,7 +153,7 @@ class Block:
 
     def counts(self, of_tokens: np.ndarray) -> np.ndarray:
         """Sums over the tokens of each key."""
-        return np.bincount(self.at.ravel(), np.tile(of_tokens, len(self.at)), len(self.keys)).astype(np.int64)
+        return sum(np.bincount(at, of_tokens, len(self.keys)) for at in self.at).astype(np.int64)
 
     def estimates(self, counts: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
         """(each token's context bucket, its maximum-likelihood estimates from one word upwards; zero where the context is new)."""
@@ -173,12 +180,12 @@ _ASKED = "p long, b long, deleted boolean, n long, keys binary, numbers binary"
 _ANSWERED = "b long, p long, deleted boolean, n long, counts binary, kept binary, types long, kept_types long"
 
 
-def _ask(order: int, ranges: int):
+def _ask(order: int, bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             for row in rows(batch):
-                block = Block(row, order)
+                block = Block(row, order, bits)
                 counts = block.counts(np.repeat(~block.held, block.lengths).astype(np.float64))
                 found = [(p, row["b"], row["deleted"], b - a, pack_sorted(block.keys[a:b]), pack(counts[a:b])) for p, a, b in slices(block.keys, ranges)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names(_ASKED))
@@ -223,13 +230,13 @@ def _steps(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.minimum(np.round(-np.log2(p) * _FINE), _ZERO - 1), _ZERO).astype(np.int64)
 
 
-def _cells(order: int, totals: Totals):
+def _cells(order: int, bits: int, totals: Totals):
     """The histogram of a deleted block's tokens over (bucket, step of each estimate)."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], pa.int64())] * 2, names=["cell", "weight"])
-        block = Block(table.to_pylist()[0], order)
+        block = Block(table.to_pylist()[0], order, bits)
         cell, parts = block.estimates(gathered(answers, "kept"), totals)
         for p in parts:
             cell = cell << 8 | _steps(p)
@@ -279,13 +286,13 @@ def probabilities(block: Block, counts: np.ndarray, totals: Totals, mixed: np.nd
     return weights[0] / (totals.types + 1) + (weights[1:] * parts).sum(0)
 
 
-def _score(order: int, totals: Totals, mixed: np.ndarray):
+def _score(order: int, bits: int, totals: Totals, mixed: np.ndarray):
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names(_SCORED))
-        block = Block(table.to_pylist()[0], order)
+        block = Block(table.to_pylist()[0], order, bits)
         counts = gathered(answers, "counts")
         logs = np.log10(probabilities(block, counts, totals, mixed))
         c = counts[block.at[0]].astype(np.float64)
@@ -320,14 +327,15 @@ def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str =
     trained = F.aggregate(F.filter(train, lambda x: ~x["held_out"]), F.lit(0).cast("long"), lambda a, x: a + x["lengths"])
     sums = blocks.groupBy("deleted").agg(F.sum(trained).alias("tokens"), F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("documents"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("all"))
     by = {r.deleted: r for r in sums.collect()}
-    ranges = max(32, -(-order * sum(r["all"] for r in by.values()) // block_tokens))
-    asked = blocks.select(names(_BLOCKS)).mapInArrow(_ask(order, ranges), _ASKED)
+    n_keys = order * sum(r["all"] for r in by.values())
+    ranges, bits = max(32, -(-n_keys // block_tokens)), min(62, n_keys.bit_length() + SPARE_BITS)
+    asked = blocks.select(names(_BLOCKS)).mapInArrow(_ask(order, bits, ranges), _ASKED)
     answered = materialise(asked.repartition(max(1, ranges // 4), "p").groupBy("p").applyInArrow(_answer, _ANSWERED), "lm-answers")
     found = answered.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("kept_types"), F.lit(0))).first()
     sum_of = lambda name, kinds: sum(by[k][name] for k in kinds if k in by)
     kept = Totals(sum_of("tokens", [False]), sum_of("documents", [False]), int(found[1]))
     totals = Totals(sum_of("tokens", [False, True]), sum_of("documents", [False, True]), int(found[0]))
     joined = lambda only: blocks.where(only).groupBy("b").cogroup(answered.where(only).groupBy("b"))
-    cells = joined(F.col("deleted")).applyInArrow(_cells(order, kept), "cell long, weight long").groupBy("cell").agg(F.sum("weight").alias("weight")).toArrow()
+    cells = joined(F.col("deleted")).applyInArrow(_cells(order, bits, kept), "cell long, weight long").groupBy("cell").agg(F.sum("weight").alias("weight")).toArrow()
     mixed = learn(cells.column("cell").to_numpy(), cells.column("weight").to_numpy().astype(np.float64), order, kept.types)
-    return joined(F.lit(True)).applyInArrow(_score(order, totals, mixed), _SCORED)
+    return joined(F.lit(True)).applyInArrow(_score(order, bits, totals, mixed), _SCORED)
