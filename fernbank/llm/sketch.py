@@ -56,6 +56,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending, by a sort."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (two rounds of shift and multiply)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,7 +101,7 @@ def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
 
 def sketch(hashes: np.ndarray, scaled: int = SCALED) -> np.ndarray:
     """The kept hashes, sorted, cut to their high bytes."""
-    return _cut(np.unique(hashes >> np.uint64(8 * (8 - KEPT_BYTES))), scaled)
+    return _cut(distinct(hashes >> np.uint64(8 * (8 - KEPT_BYTES))), scaled)
 
 
 def _cut(high: np.ndarray, scaled: int) -> np.ndarray:
