@@ -22,6 +22,15 @@ def point(df: DataFrame, field: str | tuple[str, str]) -> tuple[Column, Column]:
     return found
 
 
+def build_index(df: DataFrame, field: str | tuple[str, str], *, id_field: str = "_id", spherical: bool = True) -> DataFrame:
+    """``id, x, y`` of every point, sorted by grid cell (rows of cells of one latitude on the sphere), so that Parquet's statistics skip other places."""
+    x, y = point(df, field)
+    points = df.select(F.col(id_field).alias("id"), x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+    cell = geo.grid_cell(F.col("x"), F.col("y"))
+    keys = [cell["cy"], cell["cx"]] if spherical else [cell["cx"], cell["cy"]]
+    return points.repartitionByRange(*keys).sortWithinPartitions(*keys, "id")
+
+
 def near(df: DataFrame, field: str | tuple[str, str], centre: Sequence[float], max_distance: float, *, spherical: bool = True, limit: int = 0, id_field: str = "_id") -> DataFrame:
     """Rows within ``max_distance`` (metres on the sphere, else units), nearest first, with ``_distance``.
 

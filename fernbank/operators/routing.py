@@ -37,29 +37,50 @@ def key_bytes(value: Any) -> bytes:
     return value if isinstance(value, bytes) else str(value).encode()
 
 
-def _fnv_longs(values: np.ndarray) -> np.ndarray:
-    h = np.full(len(values), FNV_OFFSET, np.uint64)
-    bits = values.astype(np.int64).view(np.uint64)
-    for shift in range(56, -8, -8):
-        h = (h ^ (bits >> np.uint64(shift) & np.uint64(255))) * np.uint64(FNV_PRIME)
-    return h
+def _fnv_step(hi: Column, lo: Column, byte: Column) -> tuple[Column, Column]:
+    """One byte of FNV-1a on a hash in two halves of 32 bits: no product or sum leaves a long. The prime is 2^40 + 435."""
+    mask = F.lit((1 << 32) - 1)
+    x = lo.bitwiseXOR(byte)
+    low = x * 435
+    return (F.shiftrightunsigned(low, 32) + hi * 435 + F.shiftleft(x, 8)).bitwiseAND(mask), low.bitwiseAND(mask)
+
+
+def _fnv_texts(values: pd.Series, shards: int) -> np.ndarray:
+    """FNV-1a of texts modulo ``shards``, byte place by byte place over all texts that are long enough."""
+    data = [key_bytes(v) for v in values]
+    h, order = np.full(len(data), FNV_OFFSET, np.uint64), np.argsort([-len(b) for b in data], kind="stable")
+    lengths = np.array([len(data[i]) for i in order], np.int64)
+    flat, starts = np.frombuffer(b"".join(data[i] for i in order), np.uint8).astype(np.uint64), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(data) else lengths
+    for place in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -place))  # texts longer than the place come first
+        h[:n] = (h[:n] ^ flat[starts[:n] + place]) * np.uint64(FNV_PRIME)
+    out = np.empty(len(data), np.int32)
+    out[order] = (h % np.uint64(shards)).astype(np.int32)
+    return out
 
 
 def hash_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
-    """``df`` with ``shard``: FNV-1a of the key modulo the number of shards. Arrow batches, no shuffle."""
+    """``df`` with ``shard``: FNV-1a of the key modulo the number of shards, without a shuffle. Whole numbers are hashed in the plan, others in Arrow batches."""
+    column, kind = F.col(key), dict(df.dtypes)[key]
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        value = column.cast("long")
+        hi, lo = F.lit(FNV_OFFSET >> 32), F.lit(FNV_OFFSET & (1 << 32) - 1)
+        staged = df
+        for k, shift in enumerate(range(56, -8, -8)):  # a column for each byte: as one expression the halves would double with every step
+            hi, lo = _fnv_step(hi, lo, F.shiftrightunsigned(value, shift).bitwiseAND(F.lit(255)))
+            staged = staged.withColumns({f"_fnv_hi{k}": hi, f"_fnv_lo{k}": lo})
+            hi, lo = F.col(f"_fnv_hi{k}"), F.col(f"_fnv_lo{k}")
+        shard = F.pmod(F.pmod(hi, F.lit(shards)) * ((1 << 32) % shards) + F.pmod(lo, F.lit(shards)), F.lit(shards)).cast("int")
+        none = fnv1a(key_bytes(None)) % shards
+        return staged.withColumn("shard", F.when(column.isNull(), F.lit(none)).otherwise(shard)).drop(*[f"_fnv_{x}{k}" for k in range(8) for x in ("hi", "lo")])
     ship(df.sparkSession)
-    long_key = dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
 
     @F.pandas_udf("int")
     def shard(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in values:
-            if long_key and not v.isna().any():
-                yield pd.Series((_fnv_longs(v.to_numpy()) % np.uint64(shards)).astype("int32"))
-            else:
-                plain = [None if pd.isna(x) else int(x) if long_key else x for x in v]
-                yield pd.Series([fnv1a(key_bytes(x)) % shards for x in plain], dtype="int32")
+            yield pd.Series(_fnv_texts(v.where(v.notna(), None), shards))
 
-    return df.withColumn("shard", shard(F.col(key)))
+    return df.withColumn("shard", shard(column))
 
 
 def range_shards(df: DataFrame, key: str, bounds: Sequence[Any]) -> DataFrame:

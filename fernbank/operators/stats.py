@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.filters import quoted
+
+#: Ranges that percentiles cut a group into.
+_RANGES = 100
 
 
 def analyze(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``field, entries, unique_keys, min, max`` for each column, exact, from one pass over the table."""
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    distinct = rows.where("v is not null").groupBy("field", "v").agg(F.count(F.lit(1)).alias("n"))
-    return distinct.groupBy("field").agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("unique_keys"), F.min("v").alias("min"), F.max("v").alias("max"))
+    """``field, entries, unique_keys, min, max`` for each column, exact; nulls are no entries.
+
+    Columns are compared by their own types. ``min`` and ``max`` have the columns' type if
+    all share one, are doubles if all are numbers, and text otherwise.
+    """
+    kinds = [df.schema[c].dataType for c in columns]
+    if all(k == kinds[0] for k in kinds):
+        to = kinds[0]
+    else:
+        to = T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.StringType()
+
+    def one(c: str) -> DataFrame:
+        distinct = df.select(F.col(quoted(c)).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        found = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("unique_keys"), F.min("v").cast(to).alias("min"), F.max("v").cast(to).alias("max"))
+        return found.select(F.lit(c).alias("field"), "*")
+
+    return reduce(DataFrame.unionByName, [one(c) for c in columns])
 
 
 def histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
@@ -58,21 +78,26 @@ def latency_buckets(df: DataFrame, column: str) -> DataFrame:
 def percentiles(df: DataFrame, column: str, ranks: Sequence[int] = (50, 95, 99), by: str | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at position n*p/100 of the sorted values, exact.
 
-    Values are counted before they are ordered, so a group's state is its distinct
-    values and not its rows.
+    Approximate quantiles cut a group into ``_RANGES`` ranges, whose counts tell the range
+    that holds each rank; only there are values put in order, so no task sorts a group.
     """
     group = [by] if by else []
-    counted = df.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("v", "n")))
-    gathered = counted.groupBy(*group).agg(ordered.alias("vs"), F.sum("n").alias("total"))
-
-    def at(p: int) -> Column:
-        rank = F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1)
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(df.schema[column].dataType).alias("v"))
-        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["n"] > rank), x["v"]).otherwise(a["v"]).alias("v"))
-        return F.aggregate("vs", start, step, lambda a: a["v"])
-
-    return gathered.select(*group, *[at(p).alias(f"p{p}") for p in ranks])
+    values = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias("g") for c in group], F.col(column).alias("v"))
+    values = values if group else values.withColumn("g", F.lit(0))
+    cuts = values.groupBy("g").agg(F.percentile_approx("v", [i / _RANGES for i in range(1, _RANGES)], 20 * _RANGES).alias("cuts"), F.count(F.lit(1)).alias("total"))
+    counted = values.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    joined = counted.join(cuts, counted["g"].eqNullSafe(cuts["g"])).select(counted["g"], "v", "n", "total", "cuts")
+    placed = joined.select("g", "v", "n", "total", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
+    ranges = placed.groupBy("g", "range", "total").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1).alias("rank")) for p in ranks]))
+    wanted = ranges.withColumn("before", before).select("g", "range", "n", "before", at.alias("at")).where("at.rank >= before and at.rank < before + n")
+    wanted = wanted.select(F.col("g").alias("wg"), F.col("range").alias("wr"), F.col("at.p").alias("p"), (F.col("at.rank") - F.col("before")).alias("rank"))
+    near = placed.join(wanted, placed["g"].eqNullSafe(wanted["wg"]) & (placed["range"] == wanted["wr"]))
+    upto = F.sum("n").over(Window.partitionBy("g", "range", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("upto", upto).where("upto > rank").groupBy("g", "p").agg(F.min("v").alias("v"))
+    out = found.groupBy("g").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in ranks])
+    return out.withColumnRenamed("g", by) if by else out.drop("g")
 
 
 def slow_queries(log: DataFrame, *, operation: str, collection: str, duration: str, at: str, since: datetime | None = None) -> dict[str, DataFrame]:

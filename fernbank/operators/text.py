@@ -43,8 +43,12 @@ def _indexed_word(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, of two bytes at least, without stop words."""
-    words = F.transform(F.split(text, _BETWEEN), F.lower)
-    return F.filter(words, _indexed_word)
+    return F.filter(_words(text), _indexed_word)
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters and digits in lower case. Where lower-casing makes no new sign between words, the whole text is lower-cased at once, which is cheaper."""
+    return F.when(text.contains("\u0130"), F.transform(F.split(text, _BETWEEN), F.lower)).otherwise(F.split(F.lower(text), _BETWEEN))
 
 
 def positions(df: DataFrame, columns: Sequence[str], id_field: str = "_id") -> DataFrame:
@@ -87,10 +91,35 @@ def postings(df: DataFrame, columns: Sequence[str], *, id_field: str = "_id", st
     return found.join(table, "token").groupBy(F.col("stem").alias("token"), "id").agg(F.sum("tf").alias("tf"))
 
 
+def build_index(df: DataFrame, columns: Sequence[str], *, id_field: str = "_id", stemmed: bool = True) -> tuple[DataFrame, int, float]:
+    """Postings ``token, id, tf, dl`` sorted by token, with the number of documents and their mean length."""
+    docs = indexed(df, columns, id_field).select("id", "tokens", F.size("tokens").cast("long").alias("dl"))
+    n, length = docs.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    found = docs.select("id", "dl", F.explode("tokens").alias("token")).groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    if stemmed:
+        found = found.join(stems(found.select("token").distinct()), "token").groupBy(F.col("stem").alias("token"), "id", "dl").agg(F.sum("tf").alias("tf"))
+    return found.select("token", "id", "tf", "dl").repartitionByRange("token").sortWithinPartitions("token", "id"), n, length
+
+
+def _term_score(tf: Column, dl: Column, n: Column, found: Column, avgdl: Column, times: Column) -> Column:
+    idf = times * F.ln((n - found + 0.5) / (found + 0.5) + 1)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def index_scores(postings: DataFrame, query: str | Sequence[str], n: int, avgdl: float, *, stemmed: bool = True) -> DataFrame:
+    """``id, score`` by an index that ``build_index`` made: only the postings of the query's tokens are read."""
+    wanted = Counter(query_tokens(query, stemmed) if isinstance(query, str) else query)
+    times = F.coalesce(*[F.when(F.col("token") == t, F.lit(float(k))) for t, k in wanted.items()], F.lit(0.0))
+    own = postings.where(F.col("token").isin(list(wanted))) if wanted else postings.limit(0)
+    found = own.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("found"))  # a row for each of the query's tokens
+    scored = own.join(F.broadcast(found), "token").withColumn("part", _term_score(F.col("tf").cast("double"), F.col("dl"), F.lit(float(n)), F.col("found"), F.lit(float(avgdl)), times))
+    return scored.groupBy("id").agg(F.sum("part").alias("score"))
+
+
 def _words_of(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> dict[str, list[str]]:
     """The indexed words of each wanted stem. A stem has few words: they share all but its last letters and end in known suffixes."""
     starts = "|".join(re.escape(t[: max(1, len(t) - (2 if len(t) > 4 else 1))]) for t in wanted)
-    token = F.explode(F.split(F.lower(combined(columns)), _BETWEEN)).alias("token")
+    token = F.explode(_words(combined(columns))).alias("token")
     near = df.select(token).where(F.col("token").rlike(f"^({starts})")).distinct()
     found: dict[str, list[str]] = {t: [] for t in wanted}
     for r in stems(near).where(F.col("stem").isin(list(wanted)) & _indexed_word(F.col("token"))).collect():
@@ -106,20 +135,18 @@ def bm25(df: DataFrame, query: str | Sequence[str], columns: Sequence[str], *, i
     """
     wanted = Counter(query_tokens(query, stemmed) if isinstance(query, str) else query)
     has_text = F.coalesce(*[F.col(quoted(c)) for c in columns]).isNotNull()
-    rows = df.where(has_text).select(F.col(quoted(id_field)).alias("id"), F.lower(combined(columns)).alias("text"))
+    rows = df.where(has_text).select(F.col(quoted(id_field)).alias("id"), combined(columns).alias("text"))
     if not wanted:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
     terms = list(wanted)
     words = _words_of(df, columns, terms) if stemmed else {t: [t] for t in terms}
     token = F.col("token")
     counts = [F.count_if(token.isin(words[t]) if words[t] else F.lit(False)).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)]
-    docs = rows.select("id", F.explode(F.split("text", _BETWEEN)).alias("token")).groupBy("id").agg(F.count_if(_indexed_word(token)).alias("dl"), *counts)
+    docs = rows.select("id", F.explode(_words(F.col("text"))).alias("token")).groupBy("id").agg(F.count_if(_indexed_word(token)).alias("dl"), *counts)
     totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k, t in enumerate(terms):
-        tf, found = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.lit(float(wanted[t])) * F.ln((F.col("n") - found + 0.5) / (found + 0.5) + 1)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score + _term_score(F.col(f"tf{k}"), F.col("dl"), F.col("n"), F.col(f"df{k}"), F.col("avgdl"), F.lit(float(wanted[t])))
     any_ = reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])
     return docs.where(any_).crossJoin(F.broadcast(totals)).select("id", score.alias("score"))
 
@@ -128,11 +155,15 @@ def text_search(
     df: DataFrame, query: str, columns: Sequence[str], *, id_field: str = "_id", projection: Mapping[str, bool] | None = None, skip: int = 0, limit: int = 0, stemmed: bool = True
 ) -> DataFrame:
     """Rows by relevance with ``_textScore``, ties by id."""
+    return ranked(df, bm25(df, query, columns, id_field=id_field, stemmed=stemmed), id_field=id_field, projection=projection, skip=skip, limit=limit)
+
+
+def ranked(df: DataFrame, scores: DataFrame, *, id_field: str = "_id", projection: Mapping[str, bool] | None = None, skip: int = 0, limit: int = 0) -> DataFrame:
+    """The rows of ``scores(id, score)`` by score with ``_textScore``, ties by id."""
     from ..plans.find import project
 
-    scores = bm25(df, query, columns, id_field=id_field, stemmed=stemmed)
-    found = df.join(scores, F.col(quoted(id_field)) == scores["id"]).drop("id") if id_field != "id" else df.join(scores, "id")
-    found = found.withColumnRenamed("score", "_textScore").orderBy(F.desc("_textScore"), quoted(id_field))
+    scores = scores.select(F.col("id").alias("_scored_id"), F.col("score").alias("_textScore"))
+    found = df.join(scores, F.col(quoted(id_field)) == F.col("_scored_id")).drop("_scored_id").orderBy(F.desc("_textScore"), quoted(id_field))
     found = project(found, projection, forced=(id_field,))
     if skip:
         found = found.offset(skip)

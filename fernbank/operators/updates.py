@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.filters import compile_filter, quoted, where
+from ..plans.filters import class_of, class_of_value, compile_filter, quoted, where
 
 
 class UpdateError(ValueError):
@@ -26,6 +26,32 @@ def _numeric(kind: T.DataType | None) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def _wide(col: Column, kind: T.DataType) -> Column:
+    """Whole numbers as longs, so that sums and products of small types can't overflow."""
+    return col.cast("long") if isinstance(kind, T.IntegralType) else col
+
+
+def literal(value: Any) -> Column:
+    """A value as a column: documents as structs, lists as arrays, lists of mixed kinds as arrays of variants."""
+    if isinstance(value, Mapping):
+        return F.struct(*[literal(v).alias(k) for k, v in value.items()])
+    if isinstance(value, (list, tuple)):
+        kinds = {_shape(v) for v in value}
+        return F.array(*[_variant(literal(v), not isinstance(v, (Mapping, list, tuple))) if len(kinds) > 1 else literal(v) for v in value])
+    return F.lit(value)
+
+
+def _shape(value: Any) -> Any:
+    """What lists may not mix: classes of values, and of documents' and lists' parts."""
+    if isinstance(value, Mapping):
+        return tuple((k, _shape(v)) for k, v in value.items())
+    return (class_of_value(value), *sorted({str(_shape(v)) for v in value})) if isinstance(value, (list, tuple)) else class_of_value(value)
+
+
+def _variant(column: Column, atomic: bool) -> Column:
+    return column.cast("variant") if atomic else F.call_function("to_variant_object", column)
+
+
 def _list(value: Any) -> list:
     return list(value["$each"]) if isinstance(value, Mapping) and "$each" in value else [value]
 
@@ -35,11 +61,11 @@ def _literals(values: list, kind: T.ArrayType) -> Column:
 
 
 def _inc(col: Column, kind, v):
-    return col + F.lit(v) if _numeric(kind) else col
+    return _wide(col, kind) + F.lit(v) if _numeric(kind) else col
 
 
 def _mul(col: Column, kind, v):
-    return F.coalesce(col * F.lit(v), F.lit(0)) if _numeric(kind) else col
+    return F.coalesce(_wide(col, kind) * F.lit(v), F.lit(0)) if _numeric(kind) else col
 
 
 def _least(col: Column, kind, v):
@@ -85,7 +111,7 @@ def _bit(col: Column, kind, v):
 
 #: In the order in which they apply.
 FIELD_OPERATORS = {
-    "$set": lambda col, kind, v: F.lit(v),
+    "$set": lambda col, kind, v: literal(v),
     "$unset": lambda col, kind, v: F.lit(None),
     "$inc": _inc, "$mul": _mul, "$min": _least, "$max": _greatest,
     "$push": _push, "$pull": lambda col, kind, v: _pull_all(col, kind, [v]), "$pullAll": _pull_all,
@@ -135,18 +161,34 @@ def changes(schema: T.StructType, update: Mapping[str, Any], *, now: datetime |
 
 
 def apply_update(df: DataFrame, filter: Mapping[str, Any] | None, update: Mapping[str, Any], *, now: datetime | None = None) -> DataFrame:
-    """All rows, changed where the filter matches."""
+    """All rows, changed where the filter matches. A field that gets a value of another class becomes a variant."""
     matched = compile_filter(df.schema, filter)
     new = changes(df.schema, update, now=now)
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    found = {f.name: f.dataType for f in df.select(*[c.alias(n) for n, c in new.items()]).schema.fields}
 
     def value(name: str, column: Column) -> Column:
-        old = F.col(quoted(name)) if name in kinds else F.lit(None)
-        return column if matched is None and name not in kinds else F.when(matched if matched is not None else F.lit(True), column).otherwise(old)
+        old, kind, to = F.col(quoted(name)) if name in kinds else F.lit(None), kinds.get(name), found[name]
+        if matched is None and name not in kinds:
+            return column
+        if kind is not None and not _mixes(kind, to):
+            old, column = (x if isinstance(k, T.VariantType) else _variant(x, not isinstance(k, (T.StructType, T.ArrayType, T.MapType))) for x, k in ((old, kind), (column, to)))
+        return F.when(matched if matched is not None else F.lit(True), column).otherwise(old)
 
     return df.withColumns({name: value(name, column) for name, column in new.items()})
 
 
+def _mixes(a: T.DataType, b: T.DataType) -> bool:
+    """Whether one column can hold both types without casting a value to another class."""
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType) or a == b:
+        return True
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return _mixes(a.elementType, b.elementType)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return a.names == b.names and all(_mixes(x.dataType, y.dataType) for x, y in zip(a.fields, b.fields))
+    return class_of(a) == class_of(b) and not isinstance(a, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) and not isinstance(b, T.MapType)
+
+
 def delete(df: DataFrame, filter: Mapping[str, Any] | None) -> DataFrame:
     """The rows that a filter doesn't match."""
     matched = compile_filter(df.schema, filter)

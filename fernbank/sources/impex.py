@@ -7,7 +7,7 @@ is written line by line from the executors' rows as they arrive, never held whol
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -42,18 +42,51 @@ def export_json_array(df: DataFrame, path: str, *, pretty: bool = False) -> None
         f.write("\n]\n" if n else "]\n")
 
 
+_Path = tuple[str, ...]
+_ITEM = "[]"
+
+
+def _leaves(kind: T.DataType, path: _Path) -> list[tuple[_Path, str, Callable[[Column], Column]]]:
+    """(path, new type, test) of every number and text within a type; nulls pass the tests."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return [(path, "long", lambda c: F.coalesce((c == F.floor(c)) & (F.abs(c) < 2.0**63), F.lit(True)))]
+    if isinstance(kind, T.StringType):
+        return [(path, "timestamp", lambda c: F.coalesce(c.rlike(_TIME), F.lit(True)))]
+    if isinstance(kind, T.StructType):
+        return [(p, to, _in_field(f.name, test)) for f in kind.fields for p, to, test in _leaves(f.dataType, (*path, f.name))]
+    if isinstance(kind, T.ArrayType):
+        return [(p, to, _in_items(test)) for p, to, test in _leaves(kind.elementType, (*path, _ITEM))]
+    return []
+
+
+def _in_field(name: str, test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda c: test(c.getField(name))
+
+
+def _in_items(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda c: F.coalesce(F.forall(c, test), F.lit(True))
+
+
+def _recast(kind: T.DataType, path: _Path, new: dict[_Path, str], column: Column) -> Column:
+    """A value with the leaves in ``new`` cast."""
+    if path in new:
+        return column.cast(new[path])
+    inside = [p for p in new if p[: len(path)] == path]
+    if inside and isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[_recast(f.dataType, (*path, f.name), new, column.getField(f.name)).alias(f.name) for f in kind.fields]))
+    if inside and isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _recast(kind.elementType, (*path, _ITEM), new, x))
+    return column
+
+
 def _retyped(df: DataFrame) -> DataFrame:
-    """Float columns of whole numbers become long, and text columns of times become timestamps; one pass decides."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not doubles and not texts:
+    """Floats that are whole throughout become long, and texts that are times throughout timestamps, at any depth; one pass decides."""
+    leaves = [(p, to, test(F.col(quoted(f.name))), F.col(quoted(f.name))) for f in df.schema.fields for p, to, test in _leaves(f.dataType, (f.name,))]
+    if not leaves:
         return df
-    tests = [F.bool_and(F.col(quoted(c)) == F.floor(quoted(c))).alias(f"d{k}") for k, c in enumerate(doubles)]
-    tests += [F.bool_and(F.col(quoted(c)).rlike(_TIME)).alias(f"s{k}") for k, c in enumerate(texts)]
-    found = df.agg(*tests).first()
-    new = {c: F.col(quoted(c)).cast("long") for k, c in enumerate(doubles) if found[f"d{k}"]}
-    new |= {c: F.col(quoted(c)).cast("timestamp") for k, c in enumerate(texts) if found[f"s{k}"]}
-    return df.withColumns(new) if new else df
+    found = df.agg(*[F.bool_and(F.when(whole.isNotNull(), test)).alias(f"t{k}") for k, (_, _, test, whole) in enumerate(leaves)]).first()
+    new = {p: to for k, (p, to, _, _) in enumerate(leaves) if found[f"t{k}"]}
+    return df.select(*[_recast(f.dataType, (f.name,), new, F.col(quoted(f.name))).alias(f.name) for f in df.schema.fields])
 
 
 def import_json(spark: SparkSession, path: str, *, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
@@ -110,8 +143,9 @@ def import_csv(spark: SparkSession, path: str, *, headers: Sequence[str] | None
 
 
 def variant_cell(text: Column) -> Column:
-    """A cell as a boolean, number or JSON value if it reads as one, else as text."""
-    return F.when(text.isNotNull(), F.coalesce(F.try_parse_json(text), F.parse_json(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))))
+    """A cell as a time, boolean, number or JSON value if it reads as one, else as text."""
+    time = F.when(text.rlike(_TIME), text.try_cast("timestamp")).cast("variant")
+    return F.when(text.isNotNull(), F.coalesce(time, F.try_parse_json(text), F.parse_json(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))))
 
 
 def _typed_text(raw: DataFrame) -> DataFrame:
@@ -123,8 +157,10 @@ def _typed_text(raw: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, format: str, **options: Any) -> None:
-    """Export by format: json, csv or parquet."""
-    if format == "json":
+    """Export by format: json (with ``pretty`` given, one local file with one array), csv (``fields``) or parquet."""
+    if format == "json" and "pretty" in options:
+        export_json_array(df, path, pretty=options["pretty"])
+    elif format == "json":
         export_json(df, path)
     elif format == "csv":
         export_csv(df, path, fields=options.get("fields"))
@@ -135,11 +171,11 @@ def write(df: DataFrame, path: str, format: str, **options: Any) -> None:
 
 
 def read(spark: SparkSession, path: str, format: str, **options: Any) -> DataFrame:
-    """Import by format: json, csv or parquet."""
+    """Import by format: json (``lines`` false for an array), csv (``headers``, ``strict``) or parquet."""
     if format == "json":
         return import_json(spark, path, lines=options.get("lines", True))
     if format == "csv":
-        return import_csv(spark, path, headers=options.get("headers"))
+        return import_csv(spark, path, headers=options.get("headers"), strict=options.get("strict", False))
     if format == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported format: {format}")

@@ -11,6 +11,7 @@ from fernbank.functions import geo
 from fernbank.functions.expressions import ExpressionError
 from fernbank.functions.stemmer import stem
 from fernbank.operators import geo_search, routing, stats, text, ttl, updates
+from fernbank.plans.explain import explain
 from fernbank.plans.find import Cursor, NotFound, find, find_one, project
 from fernbank.plans.pipeline import PipelineError, aggregate
 from fernbank.sources import impex
@@ -364,3 +365,166 @@ def test_statistics(spark):
     assert (p.p50, p.p99) == (sorted(values)[101 * 50 // 100], sorted(values)[101 * 99 // 100])
     assert {r.issue: r.n for r in stats.validate(df, "k").collect()} == {"missing_id": 1, "duplicate_id": 1}
     assert stats.repair(df, "k").count() == 100
+
+
+def test_unique_in_every_write(spark, db):
+    users = db.collection("users")
+    users.create_index(["name"], unique=True)
+    for change in (lambda: users.update_many({}, {"$set": {"name": "same"}}), lambda: users.update_one({"_id": 1}, {"$set": {"name": "Bob"}}), lambda: users.update_many({"_id": 1}, {"$set": {"name": "Cy"}})):
+        with pytest.raises(updates.UpdateError):
+            change()
+    assert users.update_many({}, {"$set": {"age": 1}}) == 3 and users.update_many({"_id": 1}, {"$unset": {"name": 1}}) == 1
+    new = lambda k, n: spark.createDataFrame([(k, n, 1)], "_id long, name string, age long")
+    errors = users.bulk_write([{"insert": new(7, "Bob")}, {"update": {"$set": {"name": "Cy"}}, "filter": {"_id": 2}}, {"insert": new(8, "Di")}], ordered=False)
+    assert errors == ["duplicate key in name_1"] * 2 and sorted(r._id for r in users.df().collect()) == [1, 2, 3, 8]
+    assert users.bulk_write([{"insert": new(9, None)}, {"nothing": 1}]) == ["unsupported operation: ['nothing']"]
+    partial = users.create_index(["age"], unique=True, filter={"age": {"$gt": 5}})
+    users.insert(new(10, "Ed"))  # outside the partial index: ages of 1 may repeat
+    with pytest.raises(updates.UpdateError):
+        users.update_many({}, {"$set": {"age": 6}})
+    assert users.view(partial).count() == 0
+
+
+def test_catalog_is_whole(spark, db, tmp_path):
+    """History beside the collections, one commit for an index, locks that end, old tables that go."""
+    users = db.get_or_create("users")
+    assert users.count() == 3 and db.get_or_create("fresh", "_id long").count() == 0 and db.collections() == ["fresh", "users"]
+    assert db.migrate([("one", lambda d: d.drop("fresh"), lambda d: d.get_or_create("fresh"))]) == ["one"]
+    assert db.collections() == ["users"] and db.migrations() == ["one"]
+    before = db.version()
+    users.create_index(["age"])
+    assert db.version() == before + 1 and users.indexes() == ["_id_", "age_1"]
+    db.backup(f"file://{tmp_path}/copy")
+    copy = Database(spark, f"file://{tmp_path}/copy")
+    assert copy.migrations() == ["one"] and copy.collection("users").indexes() == ["_id_", "age_1"]
+    out = users.aggregate([{"$lookup": {"from": "users", "localField": "_id", "foreignField": "_id", "as": "same"}}])
+    assert out.count() == 3
+    lock = tmp_path / "db" / "manifest" / f"{db.version() + 1:09d}.json.lock"
+    lock.touch()
+    with pytest.raises(Conflict):
+        users.update_many({}, {"$inc": {"age": 1}})
+    import os
+
+    os.utime(lock, (1, 1))  # whoever made it is long gone
+    assert users.update_many({}, {"$inc": {"age": 1}}) == 3
+    tables = len(list((tmp_path / "db" / "data").iterdir()))
+    assert db.vacuum(grace_seconds=10**6) == 0 and db.vacuum(grace_seconds=0) > 0
+    assert len(list((tmp_path / "db" / "data").iterdir())) == 1 < tables and users.count() == 3
+
+
+def test_text_index(spark, db, tmp_path):
+    docs = [(1, "Go databases", "running fast"), (2, "Cooking", "the run of pasta"), (3, None, None), (4, "the of and", "a"), (5, "Größe İstanbul", "x y database"), (6, "run run", "İSTANBUL run")]
+    df = spark.createDataFrame(docs, "_id long, title string, body string")
+    notes = db.create("notes", df)
+    with pytest.raises(CatalogError):
+        notes.text_search("run")
+    for stemmed in (True, False):
+        name = notes.create_text_index(["title", "body"], stemmed=stemmed)
+        for query in ("run", "databases run run", "the of", "nothing", "İstanbul größe"):
+            want = text.text_search(notes.df(), query, ["title", "body"], stemmed=stemmed).collect()
+            got = notes.text_search(query).collect()
+            assert [(r._id, pytest.approx(r._textScore)) for r in want] == [(r._id, r._textScore) for r in got]
+            assert notes.text_search(query, skip=1, limit=1, projection={"body": True}).collect() == [r for r in got[1:2]] or got
+        assert {r._id for r in notes.text_search("İstanbul").collect()} == {5, 6}
+        db.backup(f"file://{tmp_path}/notes{stemmed}")
+        assert len(Database(spark, f"file://{tmp_path}/notes{stemmed}").collection("notes").text_search("run").collect()) == len(notes.text_search("run").collect())
+        notes.update_many({"_id": 2}, {"$set": {"body": "new words"}})  # the index follows the rows
+        assert [r._id for r in notes.text_search("pasta").collect()] == [] and [r._id for r in notes.text_search("words").collect()] == [2]
+        notes.update_many({"_id": 2}, {"$set": {"body": "the run of pasta"}})
+        notes.drop_index(name)
+    hits = {r.id: r.score for r in text.bm25(df, "İstanbul", ["title", "body"], stemmed=False).collect()}
+    assert set(hits) == {5, 6}
+    n, lengths = 5, {1: 4, 2: 3, 4: 0, 5: 3, 6: 4}
+    idf = math.log((n - 2 + 0.5) / 2.5 + 1)
+    for k in (5, 6):
+        assert hits[k] == pytest.approx(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * lengths[k] / (sum(lengths.values()) / n))))
+
+
+def test_geo_index(spark, db):
+    points = [(k, float((k * 37) % 360 - 180), float((k * 53) % 180 - 90)) for k in range(400)] + [(900, None, 1.0)]
+    df = spark.createDataFrame(points, "_id long, lon double, lat double")
+    places, p = db.create("places", df), ("lon", "lat")
+    with pytest.raises(CatalogError):
+        places.near(p, (0, 0), 10)
+    places.create_geo_index(p)
+    places.create_geo_index(p, spherical=False)
+    assert places.indexes() == ["_id_", "lon_2dsphere_lat_2dsphere", "lon_2d_lat_2d"]
+    got = lambda d: [tuple(r) for r in d.collect()]
+    for spherical, reach in ((True, 2e6), (False, 30.0)):
+        assert got(places.near(p, (20, 10), reach, spherical=spherical).select("_id", "_distance")) == got(geo_search.near(df, p, (20, 10), reach, spherical=spherical).select("_id", "_distance"))
+        assert [r._id for r in places.near(p, (20, 10), reach, spherical=spherical, limit=3).collect()] == [r._id for r in geo_search.near(df, p, (20, 10), reach, spherical=spherical, limit=3).collect()]
+    square = [[(-50, -40), (60, -40), (60, 50), (-50, 50)]]
+    assert sorted(got(places.geo_within(p, square))) == sorted(got(geo_search.within(df, p, square)))
+    assert sorted(got(places.geo_intersects(p, (0, 0), (30, 30)))) == sorted(got(geo_search.intersects(df, p, (0, 0), (30, 30))))
+    assert [r._id for r in places.geo_within(p, square, skip=2, limit=2).collect()] == sorted(r._id for r in geo_search.within(df, p, square).collect())[2:4]
+    scan = places.db.load(places._index(["2d"], p)["data"])
+    assert any("GreaterThanOrEqual(x" in x for x in explain(geo_search.near(scan, ("x", "y"), (0, 0), 5, spherical=False, id_field="id"))["pushed"])
+
+
+def test_logs_and_cache(spark, tmp_path, monkeypatch):
+    from fernbank.sources import store
+
+    db = Database(spark, f"file://{tmp_path}/audited", audit=True)
+    users = db.create("users", spark.createDataFrame([(1, 2), (2, 3)], "_id long, n long"))
+    users.update_many({}, {"$inc": {"n": 1}})
+    with pytest.raises(updates.UpdateError):
+        users.insert(spark.createDataFrame([(1, 2)], "_id long, n long"))
+    assert sorted((r.operation, r.ok) for r in db.log("audit").collect()) == [("insert", False), ("update", True)]
+    with db.timed("find", "users"):
+        users.find({"n": 3}).count()
+    assert stats.slow_queries(db.log("profile"), operation="operation", collection="collection", duration="duration_ms", at="at")["overall"].first().n == 1
+    assert users.explain({"n": {"$gt": 1}})["pushed"] and {r.field: (r.entries, r.min, r.max) for r in users.analyze().collect()} == {"_id": (2, 1, 2), "n": (2, 3, 4)}
+    first = users.find({"n": 3})
+    assert users.find({"n": 3}) is first
+    monkeypatch.setattr(store, "CACHE_SECONDS", -1)
+    assert users.find({"n": 3}) is not first
+    monkeypatch.setattr(store, "CACHE_SECONDS", 300)
+    monkeypatch.setattr(store, "CACHED", 2)
+    a, b = users.find({"n": 1}), users.find({"n": 2})
+    assert users.find({"n": 1}) is a
+    users.find({"n": 9})  # the least recently used goes
+    assert users.find({"n": 1}) is a and users.find({"n": 2}) is not b
+
+
+def test_values_of_other_kinds(spark):
+    """Fields that get documents, lists or values of another class; sums of small types."""
+    df = spark.createDataFrame([(1, 5, "a", [1]), (2, 6, "b", [2])], "_id long, n int, s string, a array<int>")
+    one = lambda update: updates.apply_update(df, {"_id": 1}, update)
+    out = {r._id: r for r in one({"$set": {"d": {"x": 1, "y": {"z": "t"}}}}).collect()}
+    assert out[1].d.y.z == "t" and out[2].d is None
+    mixed = one({"$set": {"n": "text", "s": 7, "a": {"x": 1}}})
+    assert {f.name: f.dataType.simpleString() for f in mixed.schema.fields} == {"_id": "bigint", "n": "variant", "s": "variant", "a": "variant"}
+    assert {r._id: (r.n.toPython(), r.s.toPython(), r.a.toPython()) for r in mixed.collect()} == {1: ("text", 7, {"x": 1}), 2: (6, "b", [2])}
+    assert {r._id: [v.toPython() for v in r.l] for r in one({"$set": {"l": [1, "x", {"k": 2}]}}).where("_id = 1").collect()} == {1: [1, "x", {"k": 2}]}
+    assert {r._id: r.n for r in one({"$inc": {"n": 2**31}}).collect()} == {1: 5 + 2**31, 2: 6}
+    assert {r._id: r.n for r in one({"$mul": {"n": 2**31}}).collect()} == {1: 5 * 2**31, 2: 6}
+    assert {r._id: r.n for r in one({"$set": {"n": 2.5}}).collect()} == {1: 2.5, 2: 6}
+    assert {r._id: r.a for r in one({"$set": {"a": [7, 8]}}).collect()} == {1: [7, 8], 2: [2]}
+
+
+def test_statistics_of_any_type(spark):
+    df = spark.createDataFrame([(2**53, "b", datetime(2024, 1, 1), 1.5), (2**53 + 1, "a", datetime(2024, 1, 2), None), (None, "a", None, 1.5)], "n long, s string, t timestamp, x double")
+    got = {r.field: tuple(r)[1:] for r in stats.analyze(df, ["n", "s", "t", "x"]).collect()}
+    assert got == {"n": (2, 2, str(2**53), str(2**53 + 1)), "s": (3, 2, "a", "b"), "t": (2, 2, "2024-01-01 00:00:00", "2024-01-02 00:00:00"), "x": (2, 1, "1.5", "1.5")}
+    assert stats.analyze(df, ["n"]).first().max == 2**53 + 1 and stats.analyze(df.limit(0), ["s"]).first().entries == 0
+    import random
+
+    rng = random.Random(2)
+    rows_ = [(rng.choice(["a", "b", None]), rng.choice([float(rng.randrange(30)), rng.random(), 5.0, 5.0, None])) for _ in range(5000)] + [("c", 1.0)]
+    got = {r.g: tuple(r)[1:] for r in stats.percentiles(spark.createDataFrame(rows_, "g string, v double"), "v", (0, 1, 50, 95, 99, 100), by="g").collect()}
+    for g in ("a", "b", "c", None):
+        values = sorted(v for k, v in rows_ if k == g and v is not None)
+        assert got[g] == tuple(values[min(len(values) * p // 100, len(values) - 1)] for p in (0, 1, 50, 95, 99, 100))
+    assert stats.percentiles(spark.createDataFrame([], "v double"), "v").count() == 0
+
+
+def test_nested_types_of_imports(spark, tmp_path):
+    (tmp_path / "in.json").write_text(json.dumps([{"a": {"n": 1.0, "t": "2024-01-02T03:04:05Z", "l": [{"k": 2.0}, {"k": 3.5}]}, "m": [1.0, 2.0]}, {"a": None, "m": None}, {"a": {"n": 4.0, "t": None, "l": []}, "m": []}]))
+    back = impex.read(spark, f"{tmp_path}/in.json", "json", lines=False)
+    assert back.schema["a"].dataType.simpleString() == "struct<l:array<struct<k:double>>,n:bigint,t:timestamp>" and dict(back.dtypes)["m"] == "array<bigint>"
+    assert [r.a.n if r.a else None for r in back.collect()] == [1, None, 4]
+    (tmp_path / "times.csv").write_text("a,b\n2024-01-02T03:04:05Z,x\n3,2024-13-99T00:00:00Z\n")
+    strict = impex.read(spark, f"{tmp_path}/times.csv", "csv", strict=True)
+    assert [(r.a, r.b) for r in strict.select(F.schema_of_variant("a").alias("a"), F.schema_of_variant("b").alias("b")).collect()] == [("TIMESTAMP", "STRING"), ("BIGINT", "STRING")]
+    impex.write(back.select("m"), f"{tmp_path}/pretty.json", "json", pretty=True)
+    assert json.loads((tmp_path / "pretty.json").read_text())[0] == {"m": [1, 2]}
