@@ -59,14 +59,20 @@ def benchmark_windows(benchmark: DataFrame, *, item: str = "item_id", text: str
 def _occurrences(docs: DataFrame, shingles: DataFrame, k: int, limit: int, first: bool) -> DataFrame:
     """Rows (doc, th, n_words, pos, sh) where a benchmark shingle of k words stands, and if ``first`` one row for each document at least."""
     at = [F.get("w", F.col("pos") + i) for i in range(k)]
+    n_words = F.size("w").cast("long").alias("n_words")
     placed = docs.select("doc", "th", "w", F.posexplode_outer("w").alias("pos", "_word")).withColumn("h", F.xxhash64(*at))
-    right = _small(shingles.where(F.col("k") == k).select(F.col("h").alias("rh"), "sh"), limit)
+    own = shingles.where(F.col("k") == k).select(F.col("h").alias("rh"), "sh")
+    if bytes_of(own) > limit:  # what is shuffled is a position's own words, never the document's
+        moved = placed.where(F.get("w", F.col("pos") + k - 1).isNotNull()).select("doc", "th", n_words, "pos", "h", F.concat_ws(" ", *at).alias("here"))
+        found = moved.join(own, (F.col("h") == F.col("rh")) & (F.col("here") == F.col("sh"))).select("doc", "th", "n_words", "pos", "sh", F.lit(False).alias("own"))
+        whole = docs.select("doc", "th", n_words, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("sh"), F.lit(True).alias("own"))
+        return found.unionByName(whole) if first else found
     same = (F.col("h") == F.col("rh")) & (F.concat_ws(" ", *at) == F.col("sh"))
-    found = placed.join(right, same, "left" if first else "inner")
+    found = placed.join(F.broadcast(own), same, "left" if first else "inner")
     if first:
         found = found.where(F.col("sh").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
-    own = F.coalesce(F.col("pos") == 0, F.lit(True)) & F.lit(first)  # the one row that stands for the document itself
-    return found.select("doc", "th", F.size("w").cast("long").alias("n_words"), "pos", "sh", own.alias("own"))
+    is_own = F.coalesce(F.col("pos") == 0, F.lit(True)) & F.lit(first)  # the one row that stands for the document itself
+    return found.select("doc", "th", n_words, "pos", "sh", is_own.alias("own"))
 
 
 def decontaminate(

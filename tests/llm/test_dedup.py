@@ -96,6 +96,17 @@ def test_decontaminate(spark, limit):
     assert decontaminate.decontaminate(d, b.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_no_exchange_carries_words(spark):
+    """Beyond the broadcast limit positions move with their own shingle, not with the document's words."""
+    docs = spark.createDataFrame([(1, "a b c d e " * 20)], "doc long, text string").select("doc", "doc", decontaminate.words("text").alias("w")).toDF("doc", "th", "w")
+    shingles = spark.createDataFrame([(3, "a b c", 5)], "k int, sh string, h long").repartition(2)
+    found = decontaminate._occurrences(docs, shingles, 3, 0, True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = re.findall(r"Exchange hashpartitioning.*\n.*?Project \[(.*)\]", plan)
+    assert exchanged and not any(re.search(r"(^|, )w#\d+(,|$)", columns) for columns in exchanged)
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
 # ---- sketches
 
 
