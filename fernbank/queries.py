@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store_queries
 from .operators import geo_search, routing, stats, text, ttl
 from .operators.updates import apply_update, delete, insert
 from .plans.find import find
@@ -230,8 +231,13 @@ SELECT id, round(sum(times * ln((n.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 /
 FROM tf JOIN df USING (token), n WHERE tf > 0 GROUP BY id
 """,
 )
-_add("bm25_stemmed", lambda s, d: text.bm25(_table(s, d, "documents"), "attions ending", ["text"], id_field="doc_id").select("id", F.round("score", 6).alias("score")))
-_add("text_search", lambda s, d: text.text_search(_table(s, d, "documents"), "attions ending", ["text"], id_field="doc_id", projection={"doc_id": True, "_textScore": True}, limit=20))
+_STEMMED_SQL = store_queries.bm25_sql(store_queries.STEMMED, True)
+_add("bm25_stemmed", lambda s, d: text.bm25(_table(s, d, "documents"), store_queries.STEMMED, ["text"], id_field="doc_id").select("id", F.round("score", 6).alias("score")), f"SELECT id, round(score, 6) AS score FROM ({_STEMMED_SQL})")
+_add(
+    "text_search",
+    lambda s, d: text.text_search(_table(s, d, "documents"), store_queries.STEMMED, ["text"], id_field="doc_id", projection={"doc_id": True, "_textScore": True}, limit=20).withColumn("_textScore", F.round("_textScore", 6)),
+    f'SELECT id AS doc_id, round(score, 6) AS "_textScore" FROM ({_STEMMED_SQL}) ORDER BY round(score, 9) DESC, id LIMIT 20',
+)
 _add(
     "text_postings",
     lambda s, d: text.postings(_table(s, d, "documents"), ["text"], id_field="doc_id", stemmed=False).groupBy("token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")),
@@ -294,7 +300,7 @@ _add(
     lambda s, d: changes.watch(changes.events(_log(s, d)), filter={"operationType": "insert", "fullDocument._id": {"$in": ["7", "42", "55"]}}).select("token", "documentKey"),
     "SELECT event_id AS token, user_id::VARCHAR AS \"documentKey\" FROM events WHERE event_type = 'signup' AND user_id IN (7, 42, 55)",
 )
-_add("hash_shards", lambda s, d: routing.hash_shards(_table(s, d, "orders"), "o_custkey", 4).groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
+_add("hash_shards", lambda s, d: routing.hash_shards(_table(s, d, "orders"), "o_custkey", 4).groupBy("shard").agg(F.count(F.lit(1)).alias("n")), f"SELECT shard, count(*) AS n FROM ({store_queries.hash_shards_sql('o_custkey', 'orders', 4)}) GROUP BY shard")
 _add("range_shards", lambda s, d: routing.range_shards(_table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", [200, 800]), "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey >= 800 THEN 2 WHEN o_custkey >= 200 THEN 1 ELSE 0 END AS shard FROM orders")
 
 # ---- statistics
@@ -314,3 +320,6 @@ _add(
 _add("slow_query_stats", lambda s, d: stats.slow_queries(_table(s, d, "events"), operation="event_type", collection="user_id", duration="value", at="ts")["by_operation"].withColumn("avg", F.round("avg", 6)), "SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
 _add("slow_query_top", lambda s, d: stats.top_slow(_table(s, d, "events"), "value", 10, "event_id").select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
 _add("validate_ids", lambda s, d: stats.validate(_table(s, d, "lineitem"), "l_orderkey"), "SELECT 'missing_id' AS issue, count(*) FILTER (l_orderkey IS NULL) AS n FROM lineitem UNION ALL SELECT 'duplicate_id', count(l_orderkey) - count(DISTINCT l_orderkey) FROM lineitem")
+
+QUERIES |= store_queries.QUERIES
+ORACLE_SQL |= store_queries.ORACLE_SQL

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,15 +30,22 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def export_json_array(df: DataFrame, path: str, *, pretty: bool = False) -> None:
-    """One local file with one JSON array, by two spaces if ``pretty``."""
-    with Path(path).open("w", encoding="utf-8") as f:
-        f.write("[")
-        n = 0
+    """One file with one JSON array, by two spaces if ``pretty``, in any store that Spark writes to."""
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(target, True)
+    held, size, n = ["["], 0, 0
+    try:
         for row in df.select(to_json_column(df).alias("value")).toLocalIterator(prefetchPartitions=True):
             text = json.dumps(json.loads(row.value), indent=2, ensure_ascii=False).replace("\n", "\n  ") if pretty else row.value
-            f.write((",\n" if n else "\n") + ("  " if pretty else "") + text)
-            n += 1
-        f.write("\n]\n" if n else "]\n")
+            held.append((",\n" if n else "\n") + ("  " if pretty else "") + text)
+            n, size = n + 1, size + len(text)
+            if size >= 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray(("".join(held) + ("\n]\n" if n else "]\n")).encode()))
+    finally:
+        out.close()
 
 
 _Path = tuple[str, ...]

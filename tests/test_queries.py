@@ -47,9 +47,13 @@ def test_without_oracle(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
-def test_entry_without_optional_parts(tmp_path):
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_entry_without_optional_parts(tmp_path, with_pipeline):
+    """The entry works without the optional package, whether or not the file that chains its operators is there."""
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "fernbank", tmp_path / "fernbank", ignore=lambda d, names: ["llm"] if d.endswith("fernbank") else ["__pycache__"])
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * with_pipeline]:
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import re, __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and not any(re.match(r'op[0-9]|pipeline', q) for q in e.queries()) and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
