@@ -17,14 +17,14 @@ from .operators import geo_search, routing, stats, text, ttl
 from .operators.updates import apply_update, delete, insert
 from .plans.find import find
 from .plans.pipeline import aggregate
+from .sources import tables
 from .streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_table = tables.table
 
 
 def _add(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -107,8 +107,8 @@ _add(
     lambda s, d: find(_table(s, d, "orders"), {"o_totalprice": {"$gt": 1000}}, sort=[("o_totalprice", False), ("o_orderkey", True)], skip=20, limit=100, projection={"o_orderkey": True}),
     "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 20",
 )
-_add("sort_missing_last", lambda s, d: find(_with_nulls(s, d), sort=[("event_type", True), ("event_id", True)], limit=9000), f"SELECT * FROM {_NULLS} ORDER BY event_type ASC NULLS LAST, event_id LIMIT 9000")
-_add("sort_missing_first", lambda s, d: find(_with_nulls(s, d), sort=[("event_type", False), ("event_id", True)], limit=500), f"SELECT * FROM {_NULLS} ORDER BY event_type DESC NULLS FIRST, event_id LIMIT 500")
+_add("sort_missing_last", lambda s, d: find(_with_nulls(s, d), sort=[("event_type", True), ("event_id", True)], skip=300), f"SELECT * FROM {_NULLS} ORDER BY event_type ASC NULLS LAST, event_id OFFSET 300")
+_add("sort_missing_first", lambda s, d: find(_with_nulls(s, d), sort=[("event_type", False), ("event_id", True)], skip=300), f"SELECT * FROM {_NULLS} ORDER BY event_type DESC NULLS FIRST, event_id OFFSET 300")
 _add("skip_beyond", lambda s, d: find(_table(s, d, "region"), sort=[("r_regionkey", True)], skip=100), "SELECT * FROM region WHERE false")
 _add("count_filtered", lambda s, d: find(_table(s, d, "lineitem"), {"l_shipdate": {"$gte": datetime(1997, 1, 1)}}).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'")
 _add("find_one", lambda s, d: find(_table(s, d, "orders"), {"o_orderpriority": "5-LOW"}, sort=[("o_orderkey", True)], limit=1), "SELECT * FROM orders WHERE o_orderpriority = '5-LOW' ORDER BY o_orderkey LIMIT 1")

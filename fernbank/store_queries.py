@@ -18,7 +18,7 @@ from .functions.scratch import folder
 from .functions.stemmer import stem
 from .operators import routing, stats, text, updates
 from .plans.find import Cursor, find
-from .sources import impex
+from .sources import impex, tables
 from .sources.store import Conflict, Database
 from .streaming import changes
 
@@ -34,8 +34,7 @@ def _add(name: str, sql: str) -> Callable:
     return register
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_table = tables.table
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
