@@ -358,6 +358,8 @@ def test_pipeline(spark, tmp_path):
     assert set(left[3]) == set(range(30))
     packed = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in packed.collect()} == set(range(30))
+    unlabelled = spark.createDataFrame([(1, "words here", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, None, None), (None, "É", None, None, None)], frame.schema)
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.identify_language(spark, unlabelled, sf_dir).collect()) == ["1", "None"]
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
