@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.shipping import ship
+from .memory import group, stream
 from .work import materialise
 
 #: The fitting sample: different texts of each language, and in all; so many of each language at least, however many there are.
@@ -176,7 +177,7 @@ def fit_documents(docs: DataFrame, *, lang: str = "lang", text: str = "text", ke
                     yield from flush()
         yield from flush()
 
-    counts = materialise(chosen.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "language-counts")
+    counts = materialise(chosen.mapInArrow(stream(count), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "language-counts")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     codes, index = codewords(len(languages)), {k: i for i, k in enumerate(languages)}
@@ -189,7 +190,7 @@ def fit_documents(docs: DataFrame, *, lang: str = "lang", text: str = "text", ke
         return pa.table({"block": pa.array([block], pa.int64()), "weights": pa.array([bit_weights(share, codes).tobytes()], pa.binary())})
 
     weights = np.zeros((FEATURES, codes.shape[1]), np.float32)
-    blocks = counts.withColumn("block", F.floor(F.col("feature") / _BLOCK)).groupBy("block").applyInArrow(weigh, "block long, weights binary")
+    blocks = counts.withColumn("block", F.floor(F.col("feature") / _BLOCK)).groupBy("block").applyInArrow(group(weigh), "block long, weights binary")
     for r in blocks.collect() if languages else ():
         weights[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.weights, np.float32).reshape(_BLOCK, -1)
     model = Model(languages, codes, weights, np.ones_like(codes) / max(codes.shape[1], 1))
@@ -204,7 +205,7 @@ def fit_documents(docs: DataFrame, *, lang: str = "lang", text: str = "text", ke
                 own[1] = own[1] + (codes[i] * model.margins(body) > 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.list_(pa.int64()))], ["i", "seen", "right"])
 
-    judged = chosen.mapInArrow(judge, "i long, seen long, right array<long>") if languages else None
+    judged = chosen.mapInArrow(stream(judge), "i long, seen long, right array<long>") if languages else None
     if judged is not None:
         sums = [F.sum(F.get("right", F.lit(k))).alias(f"r{k}") for k in range(codes.shape[1])]
         seen, right = np.zeros(len(languages)), np.zeros(codes.shape)
@@ -232,4 +233,4 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(stream(run), schema)

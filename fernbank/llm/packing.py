@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .bpe import tokenizer
+from .memory import group, stream
 from .sketch import mix
 
 CAPACITY = 2048
@@ -248,13 +249,13 @@ def _groups(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capaci
     total = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2)).first()[0] or 0  # and the end id
     groups = max(1, -(-total // group_bytes))
     seeded = source.withColumn("seed", F.xxhash64("doc_id", "text"))
-    pieces = seeded.mapInArrow(_pieces(path, end_id, capacity, groups), _PIECES)
+    pieces = seeded.mapInArrow(stream(_pieces(path, end_id, capacity, groups)), _PIECES)
     return pieces.repartition(-(-groups // TASK_GROUPS), "grp").groupBy("grp"), len(tokenizer(path).one(0))
 
 
 def _packed(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capacity: int, group_bytes: int, max_padding: float, best: bool) -> DataFrame:
     grouped, width = _groups(docs, path, end_id, doc, text, capacity, group_bytes)
-    return grouped.applyInArrow(_pack(width, capacity, max_padding, best), _PACKED)
+    return grouped.applyInArrow(group(_pack(width, capacity, max_padding, best)), _PACKED)
 
 
 def pack_first_fit(
@@ -318,4 +319,4 @@ def pack_matrices(
     say which part of which document a segment is.
     """
     grouped, width = _groups(docs, path, end_id, doc, text, capacity, group_bytes)
-    return grouped.applyInArrow(_matrix_rows(width, capacity, max_padding, best, pad_id), _MATRIX)
+    return grouped.applyInArrow(group(_matrix_rows(width, capacity, max_padding, best, pad_id)), _MATRIX)

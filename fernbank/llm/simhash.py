@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .graph import components
+from .memory import stream
 from .sketch import mix, word_bounds
 from .work import free_name, materialise
 
@@ -87,7 +88,7 @@ def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", wo
 
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, th long, n long, f0 long")
+    return source.mapInArrow(stream(run), "doc_id long, th long, n long, f0 long")
 
 
 def signed(x: int) -> int:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from .memory import stream
 
 SHINGLE = 5
 #: One hash in so many is kept.
@@ -160,7 +161,7 @@ def fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream(run), "doc_id long, fingerprint string")
 
 
 def _longs(values: list[int | None]) -> Column:
@@ -250,4 +251,4 @@ def edited_fingerprints(docs: DataFrame, *, doc: str = "doc_id", text: str = "te
             names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return ordered.mapInArrow(run, _EDITED)
+    return ordered.mapInArrow(stream(run), _EDITED)

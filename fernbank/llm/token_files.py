@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .bpe import tokenizer
+from .memory import stream
 
 #: Bytes of ids after which a token file is closed.
 FILE_BYTES = 8 << 20
@@ -69,7 +70,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, *, end_id: int =
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = source.mapInArrow(_shards(path, end_id, file_bytes), "kind string, shard string, content binary")
+    rows = source.mapInArrow(stream(_shards(path, end_id, file_bytes)), "kind string, shard string, content binary")
     separator = tokenizer(path).one(end_id).decode("latin-1")
     out = rows.select("kind", "shard", F.col("content").cast("string").alias("value"))
     out.write.partitionBy("kind", "shard").option("lineSep", separator).option("encoding", "ISO-8859-1").text(target)
@@ -103,7 +104,7 @@ def document_lengths(spark: SparkSession, target: str, *, end_id: int = 50256, w
     they are not counted. Files without any give no rows.
     """
     ship(spark)
-    blocks = _files(spark, target, "tokens").mapInArrow(_scan(end_id, width, block), "shard string, block long, last long, ends array<long>")
+    blocks = _files(spark, target, "tokens").mapInArrow(stream(_scan(end_id, width, block)), "shard string, block long, last long, ends array<long>")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = blocks.select(
         "shard",

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from .memory import stream
 
 #: Equal payloads of fewer bytes than this are stored again, not revisited.
 REVISIT_BYTES = 100
@@ -208,7 +209,7 @@ def read_records(spark: SparkSession, target: str, *, with_payload: bool = False
     """Every record of the archives under ``target``. Payload lengths and hashes are of the stored payload itself."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select("content")
-    return files.mapInArrow(_parsed(with_payload), _HEADS)
+    return files.mapInArrow(stream(_parsed(with_payload)), _HEADS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
