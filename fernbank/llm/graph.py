@@ -41,13 +41,11 @@ def components(links: DataFrame) -> DataFrame:
     path, state = shared_dir(spark, "edges"), None
     edges = materialise(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", path)
     for _ in range(ROUNDS):
-        if edges.isEmpty():
-            break
         before, path = path, shared_dir(spark, "edges")
         edges = materialise(_small_star(_large_star(edges)), "edges", path)
         remove(spark, before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     else:
