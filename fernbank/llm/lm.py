@@ -42,7 +42,7 @@ from ..functions.shipping import ship
 from .exchange import gathered, names, pack, pack_sorted, rows, slices, unpack, unpack_sorted
 from .memory import cogroup, group, stream
 from .sketch import mix, range_hashes, word_bounds
-from .work import bucketed, materialise
+from .work import bucketed, materialise, tasks
 
 #: Length of the longest n-grams; four at most.
 ORDER = 3
@@ -323,7 +323,7 @@ def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str =
     deleted = ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(10)) == 0)
     texts = source.select("doc_id", "held_out", deleted.alias("deleted"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = bucketed(texts.mapInArrow(stream(_encode(block_tokens)), _BLOCKS), "lm_blocks", min(100_000, max(32, size // (4 * block_tokens))), "b")
+    blocks = bucketed(texts.mapInArrow(stream(_encode(block_tokens)), _BLOCKS), "lm_blocks", max(32, tasks(size, 4 * block_tokens)), "b")
     train = F.arrays_zip("held_out", "lengths")
     trained = F.aggregate(F.filter(train, lambda x: ~x["held_out"]), F.lit(0).cast("long"), lambda a, x: a + x["lengths"])
     sums = blocks.groupBy("deleted").agg(F.sum(trained).alias("tokens"), F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("documents"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("all"))
@@ -331,7 +331,7 @@ def score(docs: DataFrame, held_out: Column, *, doc: str = "doc_id", text: str =
     n_keys = order * sum(r["all"] for r in by.values())
     ranges, bits = max(32, -(-n_keys // block_tokens)), min(62, n_keys.bit_length() + SPARE_BITS)
     asked = blocks.select(names(_BLOCKS)).mapInArrow(stream(_ask(order, bits, ranges)), _ASKED)
-    answered = materialise(asked.repartition(max(1, ranges // 4), "p").groupBy("p").applyInArrow(group(_answer), _ANSWERED), "lm-answers")
+    answered = materialise(asked.repartition(tasks(ranges, 4), "p").groupBy("p").applyInArrow(group(_answer), _ANSWERED), "lm-answers")
     found = answered.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("kept_types"), F.lit(0))).first()
     sum_of = lambda name, kinds: sum(by[k][name] for k in kinds if k in by)
     kept = Totals(sum_of("tokens", [False]), sum_of("documents", [False]), int(found[1]))

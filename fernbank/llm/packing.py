@@ -30,6 +30,7 @@ from ..functions.shipping import ship
 from .bpe import tokenizer
 from .memory import group, stream
 from .sketch import mix
+from .work import tasks
 
 CAPACITY = 2048
 #: Text bytes that one group of documents holds on average.
@@ -250,7 +251,7 @@ def _groups(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capaci
     groups = max(1, -(-total // group_bytes))
     seeded = source.withColumn("seed", F.xxhash64("doc_id", "text"))
     pieces = seeded.mapInArrow(stream(_pieces(path, end_id, capacity, groups)), _PIECES)
-    return pieces.repartition(-(-groups // TASK_GROUPS), "grp").groupBy("grp"), len(tokenizer(path).one(0))
+    return pieces.repartition(tasks(groups, TASK_GROUPS), "grp").groupBy("grp"), len(tokenizer(path).one(0))
 
 
 def _packed(docs: DataFrame, path: str, end_id: int, doc: str, text: str, capacity: int, group_bytes: int, max_padding: float, best: bool) -> DataFrame:

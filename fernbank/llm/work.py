@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks that one exchange is dealt to, at most: beyond that each takes more groups, one after the other.
+MAX_TASKS = 100_000
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
 _TABLES: list[str] = []
@@ -64,6 +66,11 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
+def tasks(groups: int, each: int) -> int:
+    """How many tasks take ``groups`` groups, ``each`` at a time."""
+    return max(1, min(MAX_TASKS, -(-groups // each)))
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a written table: the check in front of every broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
