@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..plans.filters import quoted
 
-#: Ranges that percentiles cut a group into.
-_RANGES = 100
+#: Approximate quantiles are off by one part in so many at most.
+_ACCURACY = 10_000
 
 
 def analyze(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,25 +78,28 @@ def latency_buckets(df: DataFrame, column: str) -> DataFrame:
 def percentiles(df: DataFrame, column: str, ranks: Sequence[int] = (50, 95, 99), by: str | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at position n*p/100 of the sorted values, exact.
 
-    Approximate quantiles cut a group into ``_RANGES`` ranges, whose counts tell the range
-    that holds each rank; only there are values put in order, so no task sorts a group.
+    Approximate quantiles, whose error is bounded, bracket each rank. Values are only
+    counted: those below a bracket together, those within by value, so what is put in
+    order is a bracket's different values and no task sorts a group.
     """
     group = [by] if by else []
     values = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias("g") for c in group], F.col(column).alias("v"))
     values = values if group else values.withColumn("g", F.lit(0))
-    cuts = values.groupBy("g").agg(F.percentile_approx("v", [i / _RANGES for i in range(1, _RANGES)], 20 * _RANGES).alias("cuts"), F.count(F.lit(1)).alias("total"))
-    counted = values.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(cuts, counted["g"].eqNullSafe(cuts["g"])).select(counted["g"], "v", "n", "total", "cuts")
-    placed = joined.select("g", "v", "n", "total", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
-    ranges = placed.groupBy("g", "range", "total").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1).alias("rank")) for p in ranks]))
-    wanted = ranges.withColumn("before", before).select("g", "range", "n", "before", at.alias("at")).where("at.rank >= before and at.rank < before + n")
-    wanted = wanted.select(F.col("g").alias("wg"), F.col("range").alias("wr"), F.col("at.p").alias("p"), (F.col("at.rank") - F.col("before")).alias("rank"))
-    near = placed.join(wanted, placed["g"].eqNullSafe(wanted["wg"]) & (placed["range"] == wanted["wr"]))
-    upto = F.sum("n").over(Window.partitionBy("g", "range", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    found = near.withColumn("upto", upto).where("upto > rank").groupBy("g", "p").agg(F.min("v").alias("v"))
-    out = found.groupBy("g").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in ranks])
+    ends = {p: (max(0.0, p / 100 - 3 / _ACCURACY), min(1.0, p / 100 + 3 / _ACCURACY)) for p in ranks}
+    cuts = sorted({x for pair in ends.values() for x in pair})
+    found = values.groupBy("g").agg(F.percentile_approx("v", cuts, _ACCURACY).alias("cuts"), F.count(F.lit(1)).alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+    found = found.withColumnRenamed("g", "of")
+    near = values.join(found, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    v, brackets = F.col("v"), []
+    for p, (a, b) in ends.items():
+        low = F.get("cuts", F.lit(cuts.index(a))) if a > 0 else F.col("least")
+        high = F.get("cuts", F.lit(cuts.index(b))) if b < 1 else F.col("most")
+        brackets.append(F.when(v <= high, F.struct(F.lit(p).alias("p"), F.when(v >= low, v).alias("key"))))
+    counted = near.select("g", "total", F.explode(F.array_compact(F.array(*brackets))).alias("at")).groupBy("g", "total", "at.p", "at.key").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "p").orderBy(F.col("key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    at = counted.withColumn("upto", upto).where(F.col("upto") > F.least(F.floor(F.col("total") * F.col("p") / 100), F.col("total") - 1))
+    best = at.groupBy("g", "p").agg(F.min_by("key", "upto").alias("v"))
+    out = best.groupBy("g").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in ranks])
     return out.withColumnRenamed("g", by) if by else out.drop("g")
 
 

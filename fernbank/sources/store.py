@@ -24,6 +24,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import geo_search, stats, text, ttl, updates
 from ..plans.explain import explain
@@ -82,7 +83,11 @@ class Files:
 
     def read(self, name: str) -> str:
         """A file's text."""
-        return "\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def delete(self, name: str) -> None:
         """Remove a file or folder."""
@@ -95,6 +100,8 @@ class Database:
     def __init__(self, spark: SparkSession, root: str, *, audit: bool = False) -> None:
         self.spark, self.files, self.audited = spark, Files(spark, root), audit
         self._cache: OrderedDict[tuple, tuple[float, DataFrame]] = OrderedDict()
+        self._manifests: dict[int, str] = {}
+        self._schemas: dict[str, StructType] = {}
 
     def version(self) -> int:
         """The last committed version; 0 for a new database."""
@@ -102,7 +109,9 @@ class Database:
 
     def _manifest(self, version: int | None = None) -> dict[str, Any]:
         version = self.version() if version is None else version
-        return json.loads(self.files.read(f"manifest/{version:09d}.json")) if version else {"collections": {}, "migrations": []}
+        if version and version not in self._manifests:  # written once, so read once
+            self._manifests = {version: self.files.read(f"manifest/{version:09d}.json")}
+        return json.loads(self._manifests[version]) if version else {"collections": {}, "migrations": []}
 
     def state(self, version: int | None = None) -> dict[str, dict]:
         """The collections of a version."""
@@ -131,8 +140,11 @@ class Database:
         return name
 
     def load(self, snapshot: str) -> DataFrame:
-        """A snapshot's rows."""
-        return self.spark.read.parquet(f"{self.files.root}/{snapshot}")
+        """A snapshot's rows. Its schema is read once."""
+        path = f"{self.files.root}/{snapshot}"
+        if snapshot not in self._schemas:
+            self._schemas[snapshot] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[snapshot]).parquet(path)
 
     def _built(self, index: dict, snapshot: str) -> dict:
         """A text or geo index with its table for these rows; others as they are."""
