@@ -279,7 +279,7 @@ def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_of_stem(wanted: str) -> list[str]:
     """Words with a stem: those that it makes with up to two usual endings."""
-    endings = "s es ed ing ings er ers ly ness ion ions ation ations al ally e y i ies ied able ment ments ful est ive ity ize ized".split()
+    endings = "s es ed ing ings er ers ly ness ion ions ation ations al ally e y i ies ied able ible ment ments ement ent ant ance ence ful est ive iveness ity iti ize ized izer ism ic ical icate ate ative al ou ous ousness fulness ousli logi entli eli bli".split()
     roots = {wanted, wanted + wanted[-1], wanted + "e", wanted[:-1] + "y", wanted + "at", wanted + "iz", wanted + "bl"}
     return sorted({w for root in roots for a, b in product(["", *endings], repeat=2) if stem(w := root + a + b) == wanted})
 
