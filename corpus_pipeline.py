@@ -38,7 +38,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id."""
+    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id.
+
+    SimHash with pivot tables (``simhash.close_groups``) groups all documents that share a
+    rare shingle; a set join adds alike ones that differ in more bits, and the shingle sets decide.
+    """
     docs = docs.select(*COLUMNS)
     return simhash.one_of_each(docs, similar.similar(docs))
 

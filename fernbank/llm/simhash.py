@@ -150,6 +150,12 @@ def _link(nodes: DataFrame, keys: list[Column], bits: int) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b")))
 
 
+def close_groups(nodes: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataFrame:
+    """``node, root`` of the components of distinct fingerprints ``nodes.f0`` that differ in ``bits`` bits or fewer. ``nodes`` should be a written table."""
+    masks = block_masks(bits, blocks or key_blocks(bits, nodes.count()))
+    return _link(nodes, [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)], bits)
+
+
 def grouped(prints: DataFrame, roots: DataFrame, node: str = "f0") -> DataFrame:
     """``prints`` with ``root`` and ``component_id``, the smallest id in the component."""
     least = prints.groupBy(F.col(node).alias("__node")).agg(F.min("doc_id").alias("least"))
@@ -168,9 +174,7 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     """
     prints = materialise(fingerprints(docs, doc=doc, text=text, words=words), "fingerprints")
     nodes = materialise(prints.select("f0").distinct(), "nodes")
-    masks = block_masks(bits, blocks or key_blocks(bits, nodes.count()))
-    roots = _link(nodes, [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)], bits)
-    return grouped(prints, roots)
+    return grouped(prints, close_groups(nodes, bits, blocks))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

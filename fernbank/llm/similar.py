@@ -1,4 +1,4 @@
-"""Near-duplicates at a similarity threshold: prefix-filtered candidates, SimHash distances, exact sets.
+"""Near-duplicates at a similarity threshold: prefix filter, SimHash with pivot tables, candidates by key for the rest, exact sets.
 
 A text is the set of its five-word shingles; two texts are alike if the sets' Jaccard
 similarity is ``similarity`` or more, and groups are the connected components.
@@ -9,10 +9,14 @@ similarity is ``similarity`` or more, and groups are the connected components.
    keys, whatever the order, if it is the same for both. With the true rarity as order
    those are nearly all keys of a single set, which join nothing and are left out; so
    few documents have any key left, and no link between alike texts is lost.
-3. Texts that share such a key are held together by SimHash fingerprints of 128 bits
-   (six standard errors beyond what the threshold implies; sets of fewer than ``SHORT``
-   shingles always pass): a spanning forest of loosely close texts.
-4. Within a loose group the shingle sets themselves decide, again as a spanning forest.
+3. Texts that have one get SimHash fingerprints of 128 bits. Those that differ in at most
+   ``CLOSE`` bits of the first 64 are grouped as in ``simhash``: block keys bring them
+   together, pivot tables discard, the exact distance decides.
+4. Texts at the threshold differ in more bits than block keys or pivots can bring
+   together. So texts of several such groups that share a key are held together by all
+   128 bits (six standard errors beyond what the threshold implies; sets of fewer than
+   ``SHORT`` shingles always pass). Both kinds of links join texts to loose groups.
+5. Within a loose group the shingle sets themselves decide, again as a spanning forest.
 
 No group is expanded into its pairs. A key or loose group too large for one task is cut
 into chunks that each have the group's first member, so a group of copies is linked
@@ -36,13 +40,15 @@ from ..functions.shipping import ship
 from .exchange import gathered, names, pack, pack_sorted, rows, slices, unpack, unpack_sorted
 from .graph import components
 from .memory import cogroup, group, stream
-from .simhash import fingerprint, grouped, signed
+from .simhash import close_groups, fingerprint, grouped, signed
 from .sketch import distinct, mix, shingle_hashes
 from .work import bucketed, bytes_of, materialise, tasks
 
 WORDS, SIMILARITY = 5, 0.8
 #: Standard errors by which the distance of two fingerprints may exceed what the threshold implies, and sets too small for fingerprints to tell.
 LOOSE, SHORT = 6, 64
+#: Differing bits of the first lane up to which pivot tables find a text's like.
+CLOSE = 6
 #: Shingles of a block of documents and, about, keys in a range.
 BLOCK = 1 << 20
 #: Texts that share a key and meet in one task, and shingles of a loose group that do; larger ones are cut into chunks.
@@ -232,6 +238,12 @@ class Loose:
             right.append(node[a:b][edges[:, 1]])
         return tuple(np.concatenate([*x, np.zeros(0, node.dtype)]) for x in (left, right))
 
+    def of_mixed_runs(self, key: np.ndarray, close: np.ndarray, node: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges within the runs of equal keys whose members are of several groups ``close``."""
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        mixed = np.repeat(np.minimum.reduceat(close, starts) < np.maximum.reduceat(close, starts), np.diff(np.append(starts, len(key))))
+        return self.of_runs(key[mixed], node[mixed], *(c[mixed] for c in columns))
+
     def across(self, left: pa.Table, right: pa.Table) -> Iterator[np.ndarray]:
         """For each row on the left, the positions on the right that are near."""
         a, b = ([t.column(c).to_numpy().view(np.uint64) for c in ("n", "f0", "f1")] for t in (left, right))
@@ -267,10 +279,12 @@ def by_key(edges: Callable) -> Callable:
 
 
 def _loose_groups(nodes: DataFrame, loose: Loose, chunk: int) -> DataFrame:
-    """``node, root``: components of loosely close ``nodes(node, n, f0, f1, prefix)`` that share a key."""
+    """``node, root``: components of ``nodes(node, n, f0, f1, prefix, close)`` that are in one SimHash group ``close``, or share a key and are loosely close."""
     kept = ("node", "n", "f0", "f1")
-    keyed = nodes.select(F.explode("prefix").alias("key"), *kept).distinct()
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*kept)).alias("first")).where(F.col("members") > chunk)
+    least = nodes.groupBy("close").agg(F.min("node").alias("b"))
+    by_print = nodes.join(least, "close").where("node <> b").select(F.col("node").alias("a"), "b")
+    keyed = nodes.select(F.explode("prefix").alias("key"), "close", *kept).distinct()
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*kept, "close")).alias("first")).where(F.col("members") > chunk)
     hot = materialise(counts.withColumn("chunks", F.ceil(F.col("members") / chunk)), "hot-keys")
     is_hot = not hot.isEmpty()
     salted = keyed
@@ -278,10 +292,10 @@ def _loose_groups(nodes: DataFrame, loose: Loose, chunk: int) -> DataFrame:
         chunks = hot.select("key", "chunks")
         own = keyed.join(chunks, "key", "left").withColumn("salt", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("node"), "chunks")))
         firsts = hot.select("key", "first.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("salt"))
-        both = own.select("key", "salt", *kept).unionByName(firsts.select("key", "salt", *kept))
-        salted = both.select(F.when(F.col("salt").isNull(), F.col("key")).otherwise(F.xxhash64("key", "salt")).alias("key"), *kept)
-    found = salted.repartition("key").sortWithinPartitions("key").mapInArrow(stream(by_key(loose.of_runs)), "a long, b long")
-    roots = components(found.distinct())
+        both = own.select("key", "salt", "close", *kept).unionByName(firsts.select("key", "salt", "close", *kept))
+        salted = both.select(F.when(F.col("salt").isNull(), F.col("key")).otherwise(F.xxhash64("key", "salt")).alias("key"), "close", *kept)
+    by_set = salted.select("key", "close", *kept).repartition("key").sortWithinPartitions("key").mapInArrow(stream(by_key(loose.of_mixed_runs)), "a long, b long")
+    roots = components(by_print.unionByName(by_set).distinct())
     if is_hot:
         members = keyed.join(hot.select("key"), "key").join(roots, "node", "left")
         placed = members.select(F.col("key").alias("group"), *kept, F.coalesce("root", "node").alias("root"), F.lit(1).alias("weight"))
@@ -414,7 +428,10 @@ def similar(
     ship(docs.sparkSession)
     prints = _prints(docs, doc, text, words, similarity, block)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n", "f0", "f1", "prefix"))
-    nodes = materialise(prints.where(F.size("prefix") > 0).groupBy("node").agg(first.alias("s")).select("node", "s.*").drop("none"), "nodes")
+    nodes = prints.where(F.size("prefix") > 0).groupBy("node").agg(first.alias("s")).select("node", "s.*").drop("none")
+    nodes = materialise(nodes, "nodes")
+    close = close_groups(materialise(nodes.select("f0").distinct(), "fingerprints"), CLOSE).select(F.col("node").alias("print"), "root")
+    nodes = materialise(nodes.join(close, nodes["f0"] == close["print"], "left").withColumn("close", F.coalesce("root", "f0")).drop("print", "root"), "close")
     loose = _loose_groups(nodes, Loose(similarity), chunk)
     # every node of a loose group, its least one included, with the chunks that the group is cut into
     roots = loose.select("root").distinct()

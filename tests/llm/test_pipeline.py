@@ -1,12 +1,15 @@
 """The corpus pipeline, stage by stage, against plain loops over a whole small table."""
 
+import random
+
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_lines, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fernbank.llm import lines, sketch
+from fernbank.llm import lines, similar, simhash, sketch
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +55,26 @@ def test_stages_against_brute_force(spark):
         pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
     assert {k: [i for _, p in sorted(v) for i in p] for k, v in pieces.items()} == {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in kept.items()}
     assert corpus_pipeline.run(spark, SF).count() == sum(map(len, pieces.values()))
+
+
+def test_near_dedup_goes_through_pivot_tables(spark, monkeypatch):
+    """Without the set join near copies within a few bits are still found, by pivot tables; keys of one SimHash group are not joined again."""
+    rng = random.Random(21)
+    docs = []
+    for k in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([100, 300, 900]))]
+        edit = [*w[:50], f"new{k}", *w[51:]]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edit))]
+    frame = spark.createDataFrame([(d, t, "en", "x", len(t)) for d, t in docs], ", ".join(f"{c} {t}" for c, t in zip(corpus_pipeline.COLUMNS, ["long", "string", "string", "string", "long"])))
+    prints = {r.doc_id: r.f0 & (1 << 64) - 1 for r in similar._prints(frame, "doc_id", "text", 5, 0.8, similar.BLOCK).collect()}
+    bits = [(prints[2 * k] ^ prints[2 * k + 1]).bit_count() for k in range(40)]
+    assert 10 < sum(0 < b <= similar.CLOSE for b in bits) < 35
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, frame, SF).collect())
+    with monkeypatch.context() as patch:
+        patch.setattr(similar, "LOOSE", -1000)  # the set join links nothing
+        assert kept() == [d for d in range(80) if d % 2 == 0 or bits[d // 2] > similar.CLOSE]
+        patch.setattr(simhash, "_within", lambda a, b, bits: F.lit(False))  # nor do pivot tables that discard all
+        assert kept() == [d for d in range(80) if d % 2 == 0 or bits[d // 2] > 0]
+    key, node, columns = np.array([5, 5, 5, 7, 7], np.uint64), np.arange(5, dtype=np.uint64), [np.full(5, x, np.uint64) for x in (100, 3, 4)]
+    a, b = similar.Loose(0.8).of_mixed_runs(key, np.array([1, 1, 1, 1, 2], np.uint64), node, *columns)
+    assert list(zip(a.tolist(), b.tolist())) == [(3, 4)]
