@@ -130,21 +130,22 @@ def block_masks(bits: int, n: int) -> list[int]:
 
 def _link(nodes: DataFrame, keys: list[Column], bits: int) -> DataFrame:
     """``node, root`` of the components of fingerprints ``nodes.f0``."""
+    # An exploded side has a row for each key, but is estimated as one row a fingerprint; the hints keep it from being broadcast.
     keyed = nodes.select("f0", F.explode(F.array(*keys)).alias("key"))
     reps = keyed.groupBy("key").agg(F.min("f0").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
     tabled = reps.withColumn("rep_table", _pivot_table(F.col("rep")))
     near = _within(_pivot_table(F.col("f0")), F.col("rep_table"), bits) & (_distance(F.col("f0"), F.col("rep")) <= bits) & (F.col("f0") != F.col("rep"))
-    stars = keyed.join(tabled, ["key"]).where(near).select(F.col("f0").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = keyed.hint("merge").join(tabled, ["key"]).where(near).select(F.col("f0").alias("a"), F.col("rep").alias("b")).distinct()
     roots = components(stars)
     # Links that the stars don't imply: members outside the main component of a key against members of other components.
     rooted = nodes.join(roots, nodes["f0"] == roots["node"], "left").withColumn("root", F.coalesce("root", "f0"))
     rooted = materialise(rooted.select("f0", "root", *[c for c in nodes.columns if c != "f0"]), "rooted")
     placed = rooted.select("f0", "root", F.explode(F.array(*keys)).alias("key"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "f0").alias("main")).where("lo <> hi").select("key", "main")
-    right = placed.join(mixed, "key").where("root <> main")
+    right = placed.hint("merge").join(mixed, "key").where("root <> main")
     right = right.select(F.col("key").alias("k2"), F.col("f0").alias("fb"), _pivot_table(F.col("f0")).alias("t2"), F.col("root").alias("r2"))
     apart = (F.col("key") == F.col("k2")) & (F.col("root") != F.col("r2")) & _within(_pivot_table(F.col("f0")), F.col("t2"), bits) & (_distance(F.col("f0"), F.col("fb")) <= bits)
-    rest = materialise(placed.join(right, apart).select(F.col("f0").alias("a"), F.col("fb").alias("b")).distinct(), "links")
+    rest = materialise(placed.hint("merge").join(right, apart).select(F.col("f0").alias("a"), F.col("fb").alias("b")).distinct(), "links")
     if rest.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b")))

@@ -53,8 +53,10 @@ CLOSE = 6
 BLOCK = 1 << 20
 #: Texts that share a key and meet in one task, and shingles of a loose group that do; larger ones are cut into chunks.
 CHUNK, CHUNK_SHINGLES = 4096, 1 << 20
-#: A list of documents to compare of more bytes than this is joined by shuffle instead of broadcast.
-BROADCAST_BYTES = 16 << 20
+#: A list of documents to compare of more bytes than this is joined by shuffle; on the driver a broadcast takes about six times its bytes.
+BROADCAST_BYTES = 2 << 20
+#: Bits, at most, of the bitmap that keeps other documents' texts out of that shuffle.
+FILTER_BITS = 1 << 25
 #: Buckets of up to so many members are compared in step with each other.
 _FEW = 8
 _LANES = [np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1) for k in (1, 2)]
@@ -395,6 +397,17 @@ def _with_rest(roots: DataFrame, members: DataFrame, kernel: Loose | Exact, limi
     return roots if rest.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
 
+def _maybe(texts: DataFrame, wanted: DataFrame, bits: int | None = None) -> DataFrame:
+    """The rows of ``texts`` that are in ``wanted`` by ``doc_id`` and ``th``, and a few others: a bitmap of hashes tells most of those."""
+    bits = bits or min(FILTER_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(bits)) + 1
+    at, bucket = F.bitmap_bit_position(slot), F.bitmap_bucket_number(slot)
+    maps = materialise(wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bitmap")), "bitmap")
+    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = texts.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return found.select(*texts.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, broadcast_bytes: int) -> DataFrame:
     """``group, node, weight, chunks, hashes``: the shingle sets of the documents ``wanted(group, node, weight, chunks, doc_id, th)``."""
     kept = ("group", "node", "weight", "chunks")
@@ -406,9 +419,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int, b
                 sets = [distinct(shingle_hashes(x or "", words)).tobytes() for x in part.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], [*kept, "hashes"])
 
-    wanted = F.broadcast(wanted) if bytes_of(wanted) <= broadcast_bytes else wanted
-    wanted = wanted.select(*kept, F.col("doc_id").alias("wanted_id"), F.col("th").alias("wanted_th"))
     texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    if bytes_of(wanted) <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
+    else:
+        texts, wanted = _maybe(texts, wanted), wanted.hint("merge")
+    wanted = wanted.select(*kept, F.col("doc_id").alias("wanted_id"), F.col("th").alias("wanted_th"))
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("th") == F.col("wanted_th")))
     return found.select(*kept, "text").mapInArrow(stream(run), "group long, node long, weight long, chunks long, hashes binary")
 

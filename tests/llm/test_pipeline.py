@@ -9,7 +9,7 @@ from test_dedup import brute_components, brute_lines, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fernbank.llm import lines, similar, simhash, sketch
+from fernbank.llm import graph, lines, similar, simhash, sketch
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,36 @@ def test_near_dedup_goes_through_pivot_tables(spark, monkeypatch):
     key, node, columns = np.array([5, 5, 5, 7, 7], np.uint64), np.arange(5, dtype=np.uint64), [np.full(5, x, np.uint64) for x in (100, 3, 4)]
     a, b = similar.Loose(0.8).of_mixed_runs(key, np.array([1, 1, 1, 1, 2], np.uint64), node, *columns)
     assert list(zip(a.tolist(), b.tolist())) == [(3, 4)]
+
+
+def test_near_dedup_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Keys of fingerprints are estimated as a row a fingerprint, but are not broadcast for that; nor is a long list of documents, whose texts alone move."""
+    rng = random.Random(22)
+    docs = []
+    for k in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:50], f"new{k}", *w[51:]])), (1000 + k, f"alone {w[3]} {w[1]}")]
+    docs += [(None, docs[0][1]), (None, None), (5000, None)]
+    frame = spark.createDataFrame([(d, t, "en", "x", 0) for d, t in docs], ", ".join(f"{c} {t}" for c, t in zip(corpus_pipeline.COLUMNS, ["long", "string", "string", "string", "long"])))
+    plans: list[tuple[str, str]] = []
+    for module in (simhash, similar, graph):
+
+        def seen(df, name, *rest, made=module.materialise):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return made(df, name, *rest)
+
+        monkeypatch.setattr(module, "materialise", seen)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    similar.similar(frame).count()
+    exploded = [(name, plan) for name, plan in plans if "Generate explode(array(xxhash64" in plan]
+    assert {name for name, _ in exploded} == {"edges", "links"}
+    assert not [name for name, plan in exploded if "BroadcastExchange" in plan]
+    plans.clear()
+    order = lambda r: str(tuple(r))
+    assert sorted(similar.similar(frame, broadcast_bytes=0).collect(), key=order) == sorted(similar.similar(frame).collect(), key=order)
+    plan = next(plan for name, plan in plans if name == "sets")
+    assert plan.count("BroadcastExchange") == 1 and "bitmap" in plan
+    ids = spark.createDataFrame([(d, 7 * d) for d in range(3000)], "doc_id long, th long")
+    passed = {bits: {r.doc_id for r in similar._maybe(ids, ids.where("doc_id % 10 = 0"), bits).collect()} for bits in (1 << 10, 1 << 15, 1 << 25)}
+    assert all(set(range(0, 3000, 10)) <= p for p in passed.values())
+    assert len(passed[1 << 25]) < 310 and len(passed[1 << 15]) < 400
