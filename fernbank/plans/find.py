@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
+from ..functions.scratch import folder
 from .filters import where
 from .pipeline import sort_columns, whole
 
+#: Rows of a cursor that the driver fetches at once.
+PAGE_ROWS = 20_000
+
 
 class NotFound(LookupError):
     """No row matches."""
@@ -71,11 +77,34 @@ def count(df: DataFrame, filter: Mapping[str, Any] | None = None) -> int:
     return where(df, filter).count()
 
 
+def _pages(df: DataFrame, rows: int) -> Iterator[Row]:
+    """The rows of ``df`` in order, at most ``rows`` of them on the driver: a file each, one read after the other."""
+    spark, path = df.sparkSession, folder(df.sparkSession, "cursor")
+    empty = {k for k, t in enumerate(df.dtypes) if t[1] == "void"}  # files can't hold columns without a type
+    names = [f"c{k}" for k in range(len(df.columns))]  # nor two of one name
+    stored = df.toDF(*names).withColumns({names[k]: F.col(names[k]).cast("string") for k in empty})
+    stored.write.option("maxRecordsPerFile", rows).parquet(path)
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f.getPath().getName() for f in fs.listStatus(target)]
+    # part-<task>-<id>-c<file of the task>...: both numbers grow beyond their digits
+    placed = sorted((int(m[1]), int(m[2]), f) for f in files if (m := re.match(r"part-(\d+)-.*-c(\d+)\.", f)))
+    for *_, file in placed:
+        yield from spark.read.schema(stored.schema).parquet(f"{path}/{file}").toDF(*df.columns).collect()
+    fs.delete(target, True)
+
+
 class Cursor:
-    """Rows of a query, fetched partition by partition."""
+    """Rows of a query in their order, as they are when the first is fetched.
+
+    They are written to the shared folder then and fetched in pages of ``page`` rows, so the
+    driver's memory depends on neither the result's size nor its partitions'. The
+    files go when the last row is fetched.
+    """
 
-    def __init__(self, df: DataFrame, batch: int = 100) -> None:
-        self.batch, self._rows, self._held = batch, df.toLocalIterator(prefetchPartitions=True), []
+    def __init__(self, df: DataFrame, batch: int = 100, page: int = PAGE_ROWS) -> None:
+        self.batch, self._rows, self._held = batch, _pages(df, page), []
 
     def has_next(self) -> bool:
         """Whether a row is left."""

@@ -10,8 +10,10 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .functions import geo
 from .functions.scratch import folder
@@ -22,6 +24,8 @@ from .sources import impex, tables
 from .sources.store import Conflict, Database
 from .streaming import changes
 
+#: Rows of a cursor that the driver holds before it writes them.
+HELD_ROWS = 100_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -268,10 +272,16 @@ def _migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("cursor_batches", "SELECT o_orderkey, o_totalprice FROM orders")
 def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cursor, found = Cursor(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 500), []
+    orders, path = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), folder(spark, "batches")
+    orders.limit(0).write.parquet(path)
+    cursor, held = Cursor(orders, 500), []
     while cursor.has_next():
-        found += cursor.next_batch()
-    return spark.createDataFrame(found, _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").schema)
+        held += cursor.next_batch()
+        if len(held) >= HELD_ROWS or not cursor.has_next():
+            columns = [pa.array(c, t) for c, t in zip(zip(*held), to_arrow_schema(orders.schema).types)]
+            spark.createDataFrame(pa.table(columns, names=orders.columns), orders.schema).coalesce(1).write.mode("append").parquet(path)
+            held = []
+    return spark.read.schema(orders.schema).parquet(path)
 
 
 # ---- searches

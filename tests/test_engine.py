@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from fernbank import store_queries
 from fernbank.functions import geo
 from fernbank.functions.expressions import ExpressionError
 from fernbank.functions.stemmer import stem
@@ -81,6 +82,29 @@ def test_find(spark, sales):
     assert len(cursor.next_batch(2)) == 2 and cursor.has_next() and len(list(cursor)) == 3 and not cursor.has_next()
 
 
+def test_cursor_holds_a_page(spark, tmp_path, monkeypatch):
+    """A cursor keeps order and every row, with one page of a large partition on the driver; a query over one writes its rows in parts."""
+    df = spark.range(2500, numPartitions=1).select((F.col("id") * 7 % 2500).alias("v"), F.lit(None).alias("none"), (F.col("id") % 3).alias("v2"))
+    twice = find(df, sort=[("v", False)]).toDF("v", "none", "v")
+    fetched = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: fetched.append(rows := collect(self)) or rows)
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    got = list(Cursor(twice, page=200))
+    assert [r[0] for r in got] == list(range(2499, -1, -1)) and {r[1] for r in got} == {None}
+    assert got == collect(twice)
+    assert max(map(len, fetched)) == 200 and sum(map(len, fetched)) == 2500
+    assert list(Cursor(df.limit(0))) == []
+    df.select("v", "v2").toDF("o_orderkey", "o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    made = []
+    create = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(len(data)) or create(data, *a, **k))
+    monkeypatch.setattr(store_queries, "HELD_ROWS", 1000)
+    out = store_queries.QUERIES["cursor_batches"](spark, str(tmp_path))
+    assert made == [1000, 1000, 500]
+    assert sorted(map(tuple, collect(out))) == sorted((r.v, r.v2) for r in collect(df))
+
+
 # ---- updates
 
 
